@@ -5,7 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licenses, lines, mixing, secrets
+from . import common, decontaminate, langid, licenses, lines, mixing, secrets, simhash, tokens
+
+#: The public tokenizer file by whose vocabulary token ids are written.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = tokens.write_tables(docs, common.scratch(spark, "tokens"), public_tokenizers.path(TOKENIZER))
+    return tokens.digest_tables(manifest)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.fold("doc_id") == 0
+    model = langid.train(docs, only=~held_out)
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +42,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("base.label")).alias("base_labels"), joined(F.col("blocks.label")).alias("labels"), F.coalesce(F.array_max("blocks.score"), F.lit(0.0)).alias("score"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_groups(common.load(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.find_benchmark(docs, common.load(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
@@ -46,7 +70,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op8_decontaminate, op9_secret_scan, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_tables, op2_language_id, op3_line_dedup, op4_license_scan, op6_simhash, op8_decontaminate, op9_secret_scan, op10_mix_sources)}
 
 
 #: One line key: margins stripped, A-Z lower-cased.
