@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, licenses, lines, mixing, secrets, simhash, tokens
+from . import common, decontaminate, langid, licenses, lines, mixing, secrets, simhash, tokens, vectors
 
 #: The public tokenizer file by whose vocabulary token ids are written.
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("base.label")).alias("base_labels"), joined(F.col("blocks.label")).alias("labels"), F.coalesce(F.array_max("blocks.score"), F.lit(0.0)).alias("score"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(common.load(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_groups(common.load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -70,7 +74,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_tables, op2_language_id, op3_line_dedup, op4_license_scan, op6_simhash, op8_decontaminate, op9_secret_scan, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_tables, op2_language_id, op3_line_dedup, op4_license_scan, op5_embedding_dedup, op6_simhash, op8_decontaminate, op9_secret_scan, op10_mix_sources)}
 
 
 #: One line key: margins stripped, A-Z lower-cased.
