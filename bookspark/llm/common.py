@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +63,12 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of finished cuts: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bytes_col(column) -> F.Column:
     """Text as bytes: Python then sees whole texts even if they are not valid UTF-8."""
     return F.col(column).cast("binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, licenses, lines, mixing, secrets, simhash, tokens, vectors
+from . import common, decontaminate, langid, licenses, lines, mixing, repeats, secrets, simhash, tokens, vectors
 
 #: The public tokenizer file by whose vocabulary token ids are written.
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.drop_repeats(common.load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.find_benchmark(docs, common.load(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
@@ -74,7 +79,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_tables, op2_language_id, op3_line_dedup, op4_license_scan, op5_embedding_dedup, op6_simhash, op8_decontaminate, op9_secret_scan, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_tables, op2_language_id, op3_line_dedup, op4_license_scan, op5_embedding_dedup, op6_simhash, op7_drop_repeats, op8_decontaminate, op9_secret_scan, op10_mix_sources)}
 
 
 #: One line key: margins stripped, A-Z lower-cased.
