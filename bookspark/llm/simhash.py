@@ -143,8 +143,8 @@ def links(fps: DataFrame) -> DataFrame:
     return cells.mapInArrow(_compare, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long, the fingerprint's 64 bits), component_id.
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, fp (long, the fingerprint's 64 bits), component_id, and the columns of carry.
 
     component_id is the smallest doc_id that links of 3 or fewer differing bits reach, the document's own included.
     Equal fingerprints are one node from the first, so a group of exact copies costs one row; documents are joined
@@ -160,11 +160,11 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = np.array([fingerprint(t.as_py(), width) for t in texts], dtype=np.uint64)
         return pa.array(found.view(np.int64))
 
-    rows = common.cut(docs.select(F.col(doc_id).alias("doc_id"), fp(common.bytes_col(text)).alias("fp")), "fingerprints")
+    rows = common.cut(docs.select(F.col(doc_id).alias("doc_id"), fp(common.bytes_col(text)).alias("fp"), *carry), "fingerprints")
     nodes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     groups = common.components(links(nodes.select("fp")))
     named = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     named = common.cut(named, "named")
     least = named.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("component_id"))
     named = named.join(least, F.col("group") == F.col("g")).select(F.col("fp").alias("of"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id", *carry)
