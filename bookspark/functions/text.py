@@ -86,6 +86,11 @@ CODE_RULES = (
 )
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _any(conditions) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -158,11 +163,12 @@ def is_code(cleaned: Column) -> Column:
     return marked | (F.regexp_count(cleaned, F.lit(";")) >= 2) | cleaned.contains("{")
 
 
-def ocr_language(cleaned: Column) -> Column:
+def ocr_language(cleaned: Column, code: Column | None = None) -> Column:
+    """Language by the text; code says whether it is code at all, where that is known."""
     out = F.when(F.lit(False), "")
     for lang, pattern in OCR_LANGUAGES:
         out = out.when(cleaned.rlike("(?dU)" + pattern), lang)
-    return out.when(is_code(cleaned), "c").otherwise("")
+    return out.when(is_code(cleaned) if code is None else code, "c").otherwise("")
 
 
 def ocr_markdown(raw: Column, alt: Column, path: Column) -> Column:
@@ -170,15 +176,21 @@ def ocr_markdown(raw: Column, alt: Column, path: Column) -> Column:
 
     path may be null or '': the image was not saved.
     """
-    cleaned, saved = clean_ocr(raw), F.coalesce(path, F.lit("")) != ""
-    name = F.coalesce(alt, F.lit("插图"))
+    saved, name = F.coalesce(path, F.lit("")) != "", F.coalesce(alt, F.lit("插图"))
     empty = F.when(saved, F.concat(F.lit("\n!["), name, F.lit("]("), path, F.lit(")\n"))).otherwise(F.concat(F.lit("\n> *[插图: "), name, F.lit("]*\n")))
     head = F.concat(F.lit("🖼️ **[插图: "), name, F.lit("]**"), F.when(saved, F.concat(F.lit(" *(高清原图路径: `"), path, F.lit("`)*"))).otherwise(""))
-    code = clean_code(cleaned)
-    fenced = F.when(code.startswith("```"), code).otherwise(F.concat(F.lit("```"), ocr_language(cleaned), F.lit("\n"), code, F.lit("\n```")))
-    quoted = F.array_join(F.transform(lines(cleaned), lambda l: F.when(strip(l) == "", ">").otherwise(F.concat(F.lit("> "), l))), "\n")
-    body = F.when(is_code(cleaned), fenced).otherwise(quoted)
-    return F.when(cleaned == "", empty).otherwise(F.concat(F.lit("\n"), head, F.lit("\n"), body, F.lit("\n")))
+
+    def fenced(cleaned: Column) -> Column:
+        return bind(clean_code(cleaned), lambda code: F.when(code.startswith("```"), code).otherwise(F.concat(F.lit("```"), ocr_language(cleaned, F.lit(True)), F.lit("\n"), code, F.lit("\n```"))))
+
+    def quoted(cleaned: Column) -> Column:
+        return F.array_join(F.transform(lines(cleaned), lambda l: F.when(strip(l) == "", ">").otherwise(F.concat(F.lit("> "), l))), "\n")
+
+    def block(cleaned: Column) -> Column:
+        body = F.when(is_code(cleaned), fenced(cleaned)).otherwise(quoted(cleaned))
+        return F.when(cleaned == "", empty).otherwise(F.concat(F.lit("\n"), head, F.lit("\n"), body, F.lit("\n")))
+
+    return bind(clean_ocr(raw), block)
 
 
 def image_alt(alt: Column, number: Column, file_name_only: bool = False) -> Column:
