@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -32,27 +36,43 @@ BLOCK, SHARD, BLOOM_BITS, BLOOM_PROBES = 64 << 10, 64 << 20, 10, 7
 REMEMBERED = 400_000
 
 
+#: How byte-level models spell bytes that are no printable Latin-1 character: by the characters from 256 on, in order.
+BYTE_LEVEL = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)], map(chr, range(256, 512))))
+
+
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """A pattern with \\p{L}, \\p{N} and \\s for `re`, for Latin-1 texts only; None if it has other Unicode properties."""
+    if re.search(r"(?<!\[\^)\\s", pattern):  # only the class [^\s...] is spelt out
+        return None
+    pattern = pattern.replace(r"\s", r"\t-\r\x20\x85\xa0")
+    for name in ("L", "N"):
+        pattern = pattern.replace(f"\\p{{{name}}}", "".join(chr(c) for c in range(256) if unicodedata.category(chr(c))[0] == name))
+    return None if "\\p" in pattern or "\\P" in pattern else re.compile(pattern)
+
+
 class Encoder:
     """Token ids of whole texts by a `tokenizers` file, as little-endian unsigned integers of `width` bytes.
 
     Where the file normalises by NFC, white-space folding and lower-casing and splits texts into independent pieces by
     one regular expression, a Latin-1 text (on which those steps need no Unicode tables that could differ) is split by
-    that expression and each distinct piece is encoded by the library once and remembered.  Any other text or file goes
-    through the library whole.
+    that expression and the library's model encodes each distinct piece once; pieces are remembered for as long as
+    they turn up again.  Any other text or file goes through the library whole.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        if sys.byteorder != "little":
+            raise RuntimeError("token tables are written on little-endian machines")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.lower, pattern = self._pieces(spec)
-        self.pattern = regex.compile(pattern) if pattern else None
+        self.pattern = latin_pattern(pattern) if pattern else None
         self.known: dict[str, bytes] = {}
+        self.faded: dict[str, bytes] = {}
 
     @staticmethod
     def _pieces(spec: dict) -> tuple[bool, str | None]:
@@ -83,12 +103,12 @@ class Encoder:
                 pieces[i] = self.pattern.findall(t.lower() if self.lower else t)
             else:
                 whole.append(i)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list({p for ps in pieces.values() for p in ps}.difference(known))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = self._bytes(e.ids)
+        if len(self.known) > REMEMBERED:  # what does not turn up until this happens again is forgotten
+            self.known, self.faded = {}, self.known
+        known, faded, model = self.known, self.faded, self.tokenizer.model
+        code = "H" if self.width == 2 else "I"
+        for p in {p for ps in pieces.values() for p in ps}.difference(known):
+            known[p] = faded.get(p) or array(code, [t.id for t in model.tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
         for i, ps in pieces.items():
             out[i] = b"".join(map(known.__getitem__, ps))
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
