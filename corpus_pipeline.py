@@ -10,8 +10,9 @@ from bookspark.llm.queries import TOKENIZER
 
 #: The columns of documents, which every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least calibrated probability of a language.  Low on purpose: only texts that no learned language explains go.
-LEAST_SCORE = 0.4
+#: Least calibrated probability of a language, as a multiple of an even share among the learned ones.  Low on purpose:
+#: texts in two languages and short texts with a license line are not rejected, only those that no language explains.
+LEAST_SHARE = 1.1
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose language's calibrated probability is below LEAST_SCORE.
+    """Drops documents without a letter, and those whose language's calibrated probability is below LEAST_SHARE even shares.
 
     The model learns from labelled documents outside the held-out fold, as op2 does.  If no document has a label, no language is
     learned, and only letterless texts go.
@@ -29,7 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = langid.identify(docs, model, into="__language")
-    return _columns(found.where((F.col("__language.lang") != langid.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)))
+    return _columns(found.where((F.col("__language.lang") != langid.UNKNOWN) & (F.col("__language.score") * len(model.languages) >= min(LEAST_SHARE, len(model.languages)))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
