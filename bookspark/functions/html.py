@@ -353,8 +353,10 @@ def _items(node: Node) -> str:
     out = []
     for k, li in enumerate([c for c in node.children if isinstance(c, Node) and c.tag == "li"], 1):
         mark = f"{k}. " if node.tag == "ol" else "- "
-        body = "\n\n".join(_blocks(li)).replace("\n\n- ", "\n- ")
-        out.append(mark + body.replace("\n", "\n" + " " * len(mark)))
+        body = ""
+        for b in _blocks(li):
+            body += b if not body else ("\n" if re.match(r"- |\d+\. ", b) else "\n\n") + b
+        out.append(mark + re.sub(r"\n(?=[^\n])", "\n" + " " * len(mark), body))
     return "\n".join(out)
 
 

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class OcrBackend(Protocol):
@@ -46,7 +47,7 @@ class FallbackBackend:
 
 def recognise(images: DataFrame, backend: OcrBackend, data: str = "data", into: str = "text", batch: int = 32) -> DataFrame:
     """images with a column of recognised text; a backend gets up to `batch` images at a time."""
-    schema = images.schema.add(into, "string")
+    schema = StructType([*images.schema.fields, StructField(into, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
