@@ -150,6 +150,17 @@ def equal_windows(texts: list[tuple[int, int, int, int, int, bytes]], length: in
     return out
 
 
+def ranges(windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(doc, start, windows - 1) of runs of consecutive windows."""
+    out: list[tuple[int, int, int]] = []
+    for d, s in sorted(windows):
+        if out and out[-1][0] == d and out[-1][1] + out[-1][2] + 1 == s:
+            out[-1] = (d, out[-1][1], out[-1][2] + 1)
+        else:
+            out.append((d, s, 0))
+    return out
+
+
 def cover(body: bytes, starts: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
     """Removed bytes, maximal removed runs and what is left, given (start, windows - 1) of removed windows."""
     removed = spans = 0
@@ -182,7 +193,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
        runs' bytes are fetched, and all of a batch of keys are sorted in one suffix array (see suffixes); equal windows
        are neighbours there.
     3. A key with over SORTED contents, such as the edge of a passage that a third of all documents share, is too much
-       for one task.  Its windows are spread by a 128-bit hash of their bytes instead, which finds the same ones.
+       for one task.  Its windows are told apart by a 128-bit hash of their bytes instead, which finds the same ones; a task
+       settles those it sees twice and passes on one of each.
     4. Removed windows go back to their documents.
 
     Hashes of runs are 64 bits of key and 64 of content, compared together.  Null text is empty.  Rows of equal ids would share a
@@ -300,8 +312,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         symbols = 0
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            again = equal_windows(rows, length, core)
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in again], pa.int64()), pa.array([s for _, s in again], pa.int64())], names=["doc", "start"])
+            again = ranges(equal_windows(rows, length, core))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc", "start", "more"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -314,21 +326,39 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             yield out(held)
 
     few = texts.where(~F.col("many")).select("key", "doc", "start", "more", "place", "body")
-    by_array = few.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc long, start long")
+    by_array = few.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc long, start long, more int")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                rows = [(xxhash.xxh3_128_digest(t[k : k + length]), d, s + k) for d, s, t in zip(*(c.to_pylist() for c in b.slice(i, 1024).columns)) for k in range(len(t) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["window", "doc", "start"])
+        first: dict[bytes, tuple[int, int]] = {}  # the task's first place of each window
+        later: list[tuple[int, int]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(None, d, s, more) for d, s, more in ranges(later)] + [(w, d, s, 0) for w, (d, s) in first.items()]
+            later.clear()
+            first.clear()
+            for i in range(0, len(rows), 1 << 15):
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + (1 << 15)]], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32()))], names=["window", "doc", "start", "more"])
 
-    spread = texts.where("many").select("doc", "start", "body").mapInArrow(hashes, "window binary, doc long, start long")
-    least = spread.groupBy(F.col("window").alias("w")).agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    by_hash = spread.join(least, F.col("window") == F.col("w")).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start")
+        for b in batches:
+            for d, s, t in zip(*(c.to_pylist() for c in b.columns)):
+                for k in range(len(t) - length + 1):
+                    w, here = xxhash.xxh3_128_digest(t[k : k + length]), (d, s + k)
+                    known = first.setdefault(w, here)
+                    if known != here:
+                        first[w] = min(known, here)
+                        later.append(max(known, here))
+                if len(first) + len(later) >= GATHERED:
+                    yield from out()
+        yield from out()
+
+    spread = common.cut(texts.where("many").select("doc", "start", "body").mapInArrow(hashes, "window binary, doc long, start long, more int"), "spread")
+    least = spread.where("window is not null").groupBy(F.col("window").alias("w")).agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    across = spread.join(least, F.col("window") == F.col("w")).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start", "more")
+    by_hash = spread.where("window is null").select("doc", "start", "more").unionByName(across)
     late = common.cut(by_array.unionByName(by_hash), "windows")
     common.tidy(spark)
 
-    gone = found.where("key is null").select("doc", "start", "more").unionByName(late.select("doc", "start", F.lit(0).alias("more")))
+    gone = found.where("key is null").select("doc", "start", "more").unionByName(late)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "more")).alias("gone"))
 
     @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary")
