@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from . import common
 from .suffixes import suffix_array
 
-#: Bytes of documents that are hashed together, and runs that a task gathers before it passes them on.
-BATCH, GATHERED = 1 << 21, 1 << 20
+#: Bytes of documents that are hashed together, and runs and windows that a task gathers before it passes them on.
+BATCH, GATHERED, WINDOWS = 1 << 21, 1 << 19, 1 << 16
 #: Texts of one key that are put into a suffix array; keys with more are resolved window by window.
 SORTED = 64
 #: Symbols of one suffix array.
@@ -347,7 +347,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                     if known != here:
                         first[w] = min(known, here)
                         later.append(max(known, here))
-                if len(first) + len(later) >= GATHERED:
+                if len(first) + len(later) >= WINDOWS:
                     yield from out()
         yield from out()
 
