@@ -319,6 +319,8 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
             table.finish()
             stream.close()
             path = f"shard-{task.partitionId():06d}-{len(rows):04d}.sst"
+            if fs.get_file_info(f"{root}/{path}").type != pafs.FileType.NotFound:  # of an attempt that was lost later on
+                fs.delete_file(f"{root}/{path}")
             fs.move(f"{root}/{temp}", f"{root}/{path}")
             rows.append((f"{folder}/{path}", fs.get_file_info(f"{root}/{path}").size, table.first, table.docs, table.tokens))
             table = None
