@@ -14,11 +14,11 @@ from . import common
 from .suffixes import suffix_array
 
 #: Bytes of documents that are hashed together, and runs and windows that a task gathers before it passes them on.
-BATCH, GATHERED, WINDOWS = 1 << 21, 1 << 19, 1 << 16
+BATCH, GATHERED, WINDOWS = 1 << 20, 1 << 19, 1 << 16
 #: Texts of one key that are put into a suffix array; keys with more are resolved window by window.
 SORTED = 64
 #: Symbols of one suffix array.
-ARRAY = 1 << 17
+ARRAY = 1 << 16
 #: Input bytes for one bucket of keys, and the least and most buckets.
 BUCKET_BYTES, LEAST, MOST = 4 << 20, 512, 1 << 20
 
@@ -232,11 +232,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             at += [(i * 977) % buckets for i in range(len(spare))]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([False] * len(data) + [True] * len(spare)), pa.array(data + spare, pa.binary())], names=["bucket", "again", "runs"])
 
-        def work(ids: list[int], texts: list[bytes]) -> None:
+        def work(ids: list[int], texts: list[bytes], at: int = 0) -> None:
             nonlocal n
             text_no, start, more, place, key, content = window_runs(texts, length, core)
             out = np.empty(len(start), dtype=_RUN)
-            out["doc"], out["start"], out["more"], out["place"], out["key"], out["content"] = np.array(ids, dtype=np.int64)[text_no], start, more, place, key, content
+            out["doc"], out["start"], out["more"], out["place"], out["key"], out["content"] = np.array(ids, dtype=np.int64)[text_no], start + at, more, place, key, content
             held.append(out)
             n += len(out)
 
@@ -246,6 +246,12 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 t = t.as_py()
                 if len(t) < length:
                     continue
+                if len(t) > BATCH:  # a long text in pieces that share no window
+                    for at in range(0, len(t) - length + 1, BATCH):
+                        work([d], [t[at : at + BATCH + length - 1]], at)
+                        if n >= GATHERED:
+                            yield from flush()
+                    continue
                 ids.append(d)
                 texts.append(t)
                 total += len(t)
