@@ -19,8 +19,8 @@ SEED, WIDTH, BITS = 42, 3, 64
 RADIUS, BLOCKS = 3, (13, 13, 13, 13, 12)
 #: Rows of a bucket that are compared in one cell; larger buckets are compared in parts.
 CELL = 1024
-#: Lanes that are compared together, and rows that a task holds at once.
-LANES, HELD = 4096, 1 << 16
+#: Lanes that are compared together, rows that a task holds at once, and shingles that are hashed at once.
+LANES, HELD, PIECE = 4096, 1 << 16, 1 << 14
 
 
 def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
@@ -28,12 +28,15 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     words = text.lower().split() if text else []
     if not words:
         return 0
-    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    h = np.array(list(map(xxhash.xxh64_intdigest, shingles, repeat(SEED))), dtype="<u8")
+    width = min(width, len(words))
+    total = len(words) - width + 1
     ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    for i in range(0, total, PIECE):
+        part = words[i : i + PIECE + width - 1]
+        shingles = map(b" ".join, zip(*(part[k:] for k in range(width))))
+        h = np.array(list(map(xxhash.xxh64_intdigest, shingles, repeat(SEED))), dtype="<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
 def planes_of(fps: np.ndarray) -> list[int]:
