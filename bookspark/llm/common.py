@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    _own_dir = _own_dir or f"file://{tempfile.mkdtemp(prefix='bookspark-')}"
+    if _own_dir is None:
+        folder = tempfile.mkdtemp(prefix="bookspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dir = f"file://{folder}"
     return _own_dir
 
 

@@ -70,7 +70,7 @@ def _texts(seed, alphabet, n):
 @pytest.mark.parametrize("seed, alphabet", [(1, b"abcdefgh"), (2, b"ab"), (3, "é日a ".encode())])
 def test_against_brute_force(spark, monkeypatch, sorted_, gathered, seed, alphabet):
     """With suffix arrays for all keys, for small keys only, and for none."""
-    for name, value in (("SORTED", sorted_), ("GATHERED", gathered), ("WINDOWS", gathered), ("ARRAY", 300), ("BATCH", 500)):
+    for name, value in (("SORTED", sorted_), ("GATHERED", gathered), ("WINDOWS", gathered), ("ARRAY", 300), ("BATCH", 150)):
         monkeypatch.setattr(R, name, value)
     texts = _texts(seed, alphabet, 60)
     rows = [(7 * i, t) for i, t in enumerate(texts)]
