@@ -31,13 +31,13 @@ class Library:
     def __init__(self, spark: SparkSession, backend: O.OcrBackend | None = None) -> None:
         self.spark, self.backend = spark, backend or O.NullBackend()
 
-    def read(self, path: str, glob: str | None = None) -> Books:
-        """All EPUB, MOBI, AZW, AZW3 and PRC files below path."""
-        return Books(reader.read_files(self.spark, path, glob), self.backend)
+    def read(self, path: str, glob: str | None = None, toc: str | None = None) -> Books:
+        """All EPUB, MOBI, AZW, AZW3 and PRC files below path; toc: where write_toc has put their tables of contents."""
+        return self.files(reader.read_files(self.spark, path, glob), self.spark.read.parquet(toc) if toc else None)
 
-    def files(self, files: DataFrame) -> Books:
-        """Books from rows (book, format, content)."""
-        return Books(files, self.backend)
+    def files(self, files: DataFrame, toc: DataFrame | None = None) -> Books:
+        """Books from rows (book, format, content), and their tables of contents if these are at hand."""
+        return Books(files, self.backend, toc)
 
     def paged(self, pages: DataFrame, bookmarks: DataFrame | None = None) -> Paged:
         """Paged books from tables: pages (book, phys, text[, label]), bookmarks (book, pos, level, title, phys)."""
@@ -47,17 +47,24 @@ class Library:
 class Books:
     """Electronic books.  Chapters' bodies are unpacked only when they are extracted."""
 
-    def __init__(self, files: DataFrame, backend: O.OcrBackend) -> None:
-        self.files, self.backend = files, backend
+    def __init__(self, files: DataFrame, backend: O.OcrBackend, toc: DataFrame | None = None) -> None:
+        self.files, self.backend, self._toc = files, backend, toc
         self.epubs = reader.epubs(files)
         self.mobis = reader.mobis(files)
 
     def toc(self) -> DataFrame:
         """All books' tables of contents in the schema TOC."""
+        if self._toc is not None:
+            return self._toc
         epub = self.epubs.select("book", "format", F.explode("index.toc").alias("t")).select("book", "format", "t.*")
         mobi = headings.cascade(self._markup()).withColumn("format", F.lit("MOBI"))
         return conform(epub).unionByName(conform(mobi))
 
+    def write_toc(self, path: str) -> Books:
+        """Writes the tables of contents as Parquet; the books given back look chapters up there and open only matching files."""
+        self.toc().write.mode("overwrite").parquet(path)
+        return Books(self.files, self.backend, self.files.sparkSession.read.parquet(path))
+
     def _markup(self) -> DataFrame:
         return self.mobis.where("error is null").select("book", "html", "title")
 
@@ -69,7 +76,7 @@ class Books:
         epub = self.epubs.select(
             "book", F.when(F.col("format") == "KF8", "AZW3 / MOBI (KF8)").otherwise("EPUB").alias("format"), "index.error", "index.title", "index.author", "index.language",
             F.col("index.spine_items").cast("long").alias("total_spine_items"), F.lit(None).cast("long").alias("total_chars"), F.size("index.toc").cast("long").alias("toc_count"), sample(F.col("index.toc")).alias("toc_sample"), *shape(kind))
-        entries = headings.cascade(self._markup()).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "index", "level", "title"))).alias("t"))
+        entries = self.toc().where("format = 'MOBI'").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "index", "level", "title"))).alias("t"))
         mobi = self.mobis.join(entries, "book", "left").select(
             "book", F.lit("MOBI (PalmDOC/Mobi6)").alias("format"), "error", "title", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("language"),
             F.lit(None).cast("long").alias("total_spine_items"), F.length("html").cast("long").alias("total_chars"), F.size("t").cast("long").alias("toc_count"), sample(F.col("t")).alias("toc_sample"), *shape(F.lit("M")))
@@ -122,9 +129,10 @@ class Books:
         joined = parts.groupBy(*entries.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("whole"))
         anchor = F.lit(None).cast("string") if merge_subsections else F.col("anchor")
         epub = joined.withColumn("html", H.section_html("whole", anchor)).drop("whole")
-        mobi_toc = headings.cascade(self._markup())
-        sections = headings.sections(self._markup(), mobi_toc).select("book", "pos", "html")
-        mobi = entries.where("file_path is null").join(sections, ["book", "pos"]).select(*entries.columns, "html")
+        chosen = entries.where("file_path is null")
+        mobi_toc = self.toc().where("format = 'MOBI'").select("book", "pos", "level", "char_offset")
+        sections = headings.sections(self._markup(), mobi_toc, only=chosen).select("book", "pos", "html")
+        mobi = chosen.join(sections, ["book", "pos"]).select(*entries.columns, "html")
         return epub.unionByName(mobi)
 
     def _family(self, entries: DataFrame) -> DataFrame:

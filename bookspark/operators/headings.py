@@ -114,8 +114,8 @@ def cascade(books: DataFrame) -> DataFrame:
     return first_source([(name, f(books)) for name, f in schemes], "scheme")
 
 
-def sections(books: DataFrame, toc: DataFrame, scope: str = "section") -> DataFrame:
-    """toc with html_start, html_end (exclusive) and html of each entry.
+def sections(books: DataFrame, toc: DataFrame, scope: str = "section", only: DataFrame | None = None) -> DataFrame:
+    """toc with html_start, html_end (exclusive) and html of each entry, or of the entries (book, pos) of `only`.
 
     section: to the next entry that is not deeper.  entry: to the next entry, as images are looked for.
     """
@@ -124,6 +124,8 @@ def sections(books: DataFrame, toc: DataFrame, scope: str = "section") -> DataFr
     if scope not in ("section", "entry"):
         raise ValueError(f"unknown scope {scope!r}")
     ends = (descendant_end if scope == "section" else entry_end)(toc, "char_offset", "html_end")
+    if only is not None:  # markup then meets the chosen entries only
+        ends = ends.join(only.select("book", "pos"), ["book", "pos"], "left_semi")
     both = ends.join(books.select("book", "html"), "book").withColumn("html_end", F.coalesce("html_end", F.length("html").cast("long")))
     cut = F.substring(F.col("html"), (F.col("char_offset") + 1).cast("int"), (F.col("html_end") - F.col("char_offset")).cast("int"))
     return both.withColumn("html", cut).withColumnRenamed("char_offset", "html_start")

@@ -58,6 +58,8 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", data: str = "d
                 temp = f"{target}.{uuid.uuid4().hex}"
                 with fs.open_output_stream(temp) as out:
                     out.write(body)
+                if fs.get_file_info(target).type != pafs.FileType.NotFound:  # of an earlier run
+                    fs.delete_file(target)
                 fs.move(temp, target)
                 sizes.append(len(body))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f"{folder}/{n}" for n in names], pa.string()), pa.array(sizes, pa.int64())], names=["name", "path", "length"])

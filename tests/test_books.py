@@ -58,6 +58,13 @@ def test_extract(spark, shelf):
         books.extract(index=1, format="pdf")
 
 
+def test_stored_toc(spark, shelf, tmp_path):
+    books = Library(spark).files(shelf).write_toc(str(tmp_path / "toc"))
+    found = {(r.book, r.title) for r in books.extract(["第2章"]).collect()}
+    assert ("mobi", "第2章 结构") in found
+    assert Library(spark).files(shelf, books.toc()).locate(["ncx 二"]).count() == 2
+
+
 def test_images(spark, shelf, tmp_path):
     class Reader:
         def recognize(self, images):
@@ -181,3 +188,16 @@ def test_read_folder(spark, tmp_path):
     books = Library(spark).read(str(tmp_path))
     assert sorted((r.book.rsplit("/")[-1], r.title) for r in books.toc().collect()) == [("a.epub", "第1章 起步"), ("b.azw3", "one"), ("b.azw3", "two")]
     assert books.select(index=1).select(F.count("*")).first()[0] == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from bookspark.__main__ import main
+
+    (tmp_path / "a.epub").write_bytes(epub.build("A", "", [("One", CH1), ("Two", CH2)], "nav"))
+    assert main(["extract", str(tmp_path), "--chapter", "two", "--json"]) == 0
+    import json
+
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["success"] and out["title"] == "Two" and "int main()" in out["content"] and out["stats"]["char_count"] == len(out["content"])
+    assert main(["index", str(tmp_path)]) == 0 and '"total_chapters":2' in capsys.readouterr().out
+    assert main(["extract", str(tmp_path), "--chapter", "nothing of the kind"]) == 1
