@@ -33,7 +33,10 @@ class Library:
 
     def read(self, path: str, glob: str | None = None, toc: str | None = None) -> Books:
         """All EPUB, MOBI, AZW, AZW3 and PRC files below path; toc: where write_toc has put their tables of contents."""
-        return self.files(reader.read_files(self.spark, path, glob), self.spark.read.parquet(toc) if toc else None)
+        stored = self.spark.read.parquet(toc) if toc else None
+        if glob:
+            return self.files(reader.read_files(self.spark, path, glob), stored)
+        return Books(reader.read_files(self.spark, path, reader.EPUB_GLOB), self.backend, stored, reader.read_files(self.spark, path, reader.MOBI_GLOB))
 
     def files(self, files: DataFrame, toc: DataFrame | None = None) -> Books:
         """Books from rows (book, format, content), and their tables of contents if these are at hand."""
@@ -47,23 +50,33 @@ class Library:
 class Books:
     """Electronic books.  Chapters' bodies are unpacked only when they are extracted."""
 
-    def __init__(self, files: DataFrame, backend: O.OcrBackend, toc: DataFrame | None = None) -> None:
-        self.files, self.backend, self._toc = files, backend, toc
-        self.epubs = reader.epubs(files)
-        self.mobis = reader.mobis(files)
+    def __init__(self, files: DataFrame, backend: O.OcrBackend, toc: DataFrame | None = None, mobi_files: DataFrame | None = None) -> None:
+        self.files, self.backend, self._toc, self.mobi_files = files, backend, toc, mobi_files
+        self.epubs = reader.epubs(files, mobi_files)
+        self.mobis = reader.mobis(files if mobi_files is None else mobi_files)
 
     def toc(self) -> DataFrame:
-        """All books' tables of contents in the schema TOC."""
+        """All books' tables of contents in the schema TOC.
+
+        Every verb needs them, some twice, so they are persisted (in memory and on disk, worked out again where lost) on
+        first use, until close(); a stored table is used as it is.
+        """
         if self._toc is not None:
             return self._toc
         epub = self.epubs.select("book", "format", F.explode("index.toc").alias("t")).select("book", "format", "t.*")
         mobi = headings.cascade(self._markup()).withColumn("format", F.lit("MOBI"))
-        return conform(epub).unionByName(conform(mobi))
+        self._toc = conform(epub).unionByName(conform(mobi)).persist()
+        return self._toc
+
+    def close(self) -> None:
+        """Lets go of what toc has persisted."""
+        if self._toc is not None:
+            self._toc.unpersist()
 
     def write_toc(self, path: str) -> Books:
         """Writes the tables of contents as Parquet; the books given back look chapters up there and open only matching files."""
         self.toc().write.mode("overwrite").parquet(path)
-        return Books(self.files, self.backend, self.files.sparkSession.read.parquet(path))
+        return Books(self.files, self.backend, self.files.sparkSession.read.parquet(path), self.mobi_files)
 
     def _markup(self) -> DataFrame:
         return self.mobis.where("error is null").select("book", "html", "title")

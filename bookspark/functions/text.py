@@ -10,8 +10,13 @@ SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+#: Every character of SPACE.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends, of which only the ends are looked at."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:
@@ -140,12 +145,12 @@ def clean_ocr(c: Column) -> Column:
     text = F.regexp_replace(F.coalesce(c, F.lit("")), JUNK, "")
 
     def mend(line: Column) -> Column:
-        line = strip(line)
+        out = line
         for pattern, to in REWRITES:
-            line = F.regexp_replace(line, "(?dU)" + pattern, to)
-        return line
+            out = F.regexp_replace(out, "(?dU)" + pattern, to)
+        return F.when(line.rlike("[/*:=<>-]"), out).otherwise(line)  # every rewrite needs one of these
 
-    return strip(F.array_join(F.transform(lines(text), mend), "\n"))
+    return strip(F.array_join(F.transform(F.transform(lines(text), strip), mend), "\n"))
 
 
 def clean_code(c: Column) -> Column:

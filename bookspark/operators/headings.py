@@ -6,6 +6,8 @@ in characters from 0.  Only matches are shuffled for their offsets, never the ma
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +30,6 @@ ANCHOR_AFTER, BREAK_AFTER = 200, 300
 WHOLE = "Full Book Content"
 
 
-def offsets(books: DataFrame, pattern: str, after: int = 0) -> DataFrame:
-    """book, pos, hit, char_offset[, after] of every match of pattern in html, in order."""
-    found = books.select("book", F.posexplode(T.hits(F.col("html"), pattern, after)).alias("pos", "m"))
-    found = found.select("book", "pos", F.col("m.before").alias("gap"), F.col("m.hit").alias("hit"), *([F.col("m.after").alias("after")] if after else []))
-    order = Window.partitionBy("book").orderBy("pos")
-    ends = F.sum(F.col("gap") + F.length("hit")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("char_offset", (ends - F.length("hit")).cast("long")).drop("gap")
-
-
 def first_line(markup: Column) -> Column:
     """The first filled line of markup without tags, or null."""
     return F.get(T.filled_lines(T.strip_tags(markup)), F.lit(0))
@@ -49,69 +42,114 @@ def is_chapter_like(title: Column) -> Column:
     return out
 
 
-def _shape(rows: DataFrame, index: Column, level: Column, anchor: Column | None = None) -> DataFrame:
-    kept = Window.partitionBy("book").orderBy("raw")
-    pos = (F.row_number().over(kept) - 1).cast("int")
-    out = rows.withColumnRenamed("pos", "raw").withColumn("pos", pos)
-    return out.select("book", "pos", index.cast("int").alias("index"), "title", level.cast("int").alias("level"), (F.lit(None).cast("string") if anchor is None else anchor).alias("anchor"), "char_offset")
+@dataclass(frozen=True)
+class _Scheme:
+    """One pattern of a scheme: characters that it looks at after a match, and how many matches and titles it needs."""
+
+    name: str
+    pattern: str | None
+    longest: int
+    after: int = 0
+    least_raw: int = 1
+    least: int = 2
+
+
+#: In order of preference; the paragraph patterns are tried one after another.
+_SCHEMES = (
+    _Scheme("A", HEADING, HEADING_MAX, least_raw=2),
+    _Scheme("B", ANCHOR, ANCHOR_MAX, after=ANCHOR_AFTER),
+    *(_Scheme("C", p, PARAGRAPH_MAX, least_raw=2) for p in PARAGRAPHS),
+    _Scheme("D", BREAK, BREAK_MAX, after=BREAK_AFTER, least=1),
+    _Scheme("E", None, 1 << 30, least=1),
+)
+
+
+def _title(s: _Scheme, hit: Column, after: Column, raw: Column) -> Column:
+    if s.name == "D":
+        return F.substring(F.coalesce(first_line(after), F.concat(F.lit("Section "), (raw + 1).cast("string"))), 1, s.longest)
+    own = T.strip(T.strip_tags(F.regexp_extract(hit, s.pattern, 1 if s.name == "C" else 2)))
+    return T.bind(own, lambda t: F.when(t == "", first_line(after)).otherwise(t)) if s.name == "B" else own
+
+
+def _level(s: _Scheme, hit: Column, title: Column) -> Column:
+    if s.name == "A":
+        return F.substring(F.regexp_extract(hit, s.pattern, 1), 2, 1).cast("int")
+    return F.when(title.rlike(r"(?U)^\d+\.\d+\.\d+"), 3).when(title.rlike(r"(?U)^\d+\.\d+"), 2).otherwise(1) if s.name == "C" else F.lit(1)
 
 
-def _enough(rows: DataFrame, least: int = 2) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("book"))
-    return rows.withColumn("__n", n).where(F.col("__n") >= least).drop("__n")
+def _row(k: int, s: _Scheme, raw: Column, gap: Column, width: Column, title: Column, level: Column, anchor: Column, fits: Column) -> Column:
+    return F.struct(F.lit(k).alias("k"), F.lit(s.least).alias("least"), raw.alias("raw"), gap.cast("long").alias("gap"), width.cast("long").alias("width"), title.alias("title"), level.alias("level"), anchor.alias("anchor"), fits.alias("fits"))
+
+
+def _matches(k: int, name: Column) -> Column:
+    """Array of a scheme's matches in html: place, lengths before and of the match, title, level, anchor, whether the title fits."""
+    s, none = _SCHEMES[k], F.lit(None).cast("string")
+    if s.pattern is None:
+        title = F.coalesce(F.nullif(name, F.lit("")), F.lit(WHOLE))
+        return F.when(F.col("html") != "", F.array(_row(k, s, F.lit(0), F.lit(0), F.lit(0), title, F.lit(1), none, F.lit(True)))).otherwise(F.array())
+
+    def row(m: Column, i: Column) -> Column:
+        hit = m["hit"]
+
+        def with_title(t: Column) -> Column:
+            fits = F.coalesce(F.length(t).between(1, s.longest), F.lit(False))
+            if s.name == "B":
+                fits = fits & is_chapter_like(t)
+            return _row(k, s, i, m["before"], F.length(hit), F.when(fits, t), _level(s, hit, t), F.regexp_extract(hit, s.pattern, 1) if s.name == "B" else none, fits)
+
+        return T.bind(_title(s, hit, m["after"] if s.after else none, i), with_title)
+
+    return T.bind(T.hits(F.col("html"), s.pattern, s.after), lambda found: F.when(F.size(found) >= s.least_raw, F.transform(found, row)).otherwise(F.array()))
+
+
+def _entries(books: DataFrame, names: str) -> DataFrame:
+    """Entries of each book's first scheme among names that yields enough: one pass over the markup, one shuffle of titles.
+
+    index counts titles, but in A and D all matches, so there it has gaps where a heading is left out.
+    """
+    use = [k for k, s in enumerate(_SCHEMES) if s.name in names]
+    name = F.col("title") if "title" in books.columns else F.lit(None).cast("string")
+    arrays = [_matches(k, name) for k in use]
+    found = books.select("book", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("m")).select("book", "m.*").repartition("book")
+    in_order = Window.partitionBy("book", "k").orderBy("raw")
+    end = F.sum(F.col("gap") + F.col("width")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("char_offset", (end - F.col("width")).cast("long")).where("fits")
+    found = found.withColumn("pos", (F.row_number().over(in_order) - 1).cast("int")).withColumn("kept", F.count(F.lit(1)).over(Window.partitionBy("book", "k")))
+    found = found.where("kept >= least").withColumn("best", F.min("k").over(Window.partitionBy("book"))).where("k = best")
+    by_match = [k for k, s in enumerate(_SCHEMES) if s.name in "AD"]
+    index = F.when(F.col("k").isin(*by_match), F.col("raw")).otherwise(F.col("pos")) + 1
+    scheme = F.element_at(F.array(*[F.lit(s.name) for s in _SCHEMES]), F.col("k") + 1)
+    return found.select("book", "pos", index.cast("int").alias("index"), "title", "level", "anchor", "char_offset", scheme.alias("scheme"))
 
 
 def by_headings(books: DataFrame) -> DataFrame:
-    """Scheme A: <h1> to <h4> with a title of 1 to 99 characters.  index counts all headings, so it has gaps where one is left out."""
-    rows = _enough(offsets(books, HEADING))
-    rows = rows.withColumn("title", T.strip(T.strip_tags(F.regexp_extract("hit", HEADING, 2)))).withColumn("digit", F.substring(F.regexp_extract("hit", HEADING, 1), 2, 1))
-    rows = rows.where(F.length("title").between(1, HEADING_MAX))
-    return _enough(_shape(rows, F.col("raw") + 1, F.col("digit")))
+    """Scheme A: <h1> to <h4> with a title of 1 to 99 characters."""
+    return _entries(books, "A").drop("scheme")
 
 
 def by_anchors(books: DataFrame) -> DataFrame:
     """Scheme B: named anchors whose text, or else the first filled line after them, looks like a chapter title."""
-    rows = offsets(books, ANCHOR, ANCHOR_AFTER)
-    own = T.strip(T.strip_tags(F.regexp_extract("hit", ANCHOR, 2)))
-    rows = rows.withColumn("title", F.when(own == "", first_line(F.col("after"))).otherwise(own)).withColumn("name", F.regexp_extract("hit", ANCHOR, 1))
-    rows = rows.where(F.length("title").between(1, ANCHOR_MAX) & is_chapter_like(F.col("title")))
-    return _enough(_shape(rows, F.col("pos") + 1, F.lit(1), F.col("name")))
+    return _entries(books, "B").drop("scheme")
 
 
 def by_paragraphs(books: DataFrame) -> DataFrame:
     """Scheme C: of five paragraph patterns the first that matches twice and keeps two titles of up to 60 characters."""
-    out = None
-    for k, pattern in enumerate(PARAGRAPHS):
-        rows = _enough(offsets(books, pattern))
-        rows = rows.withColumn("title", T.strip(T.strip_tags(F.regexp_extract("hit", pattern, 1)))).where(F.length("title").between(1, PARAGRAPH_MAX))
-        title = F.col("title")
-        level = F.when(title.rlike(r"(?U)^\d+\.\d+\.\d+"), 3).when(title.rlike(r"(?U)^\d+\.\d+"), 2).otherwise(1)
-        one = _enough(_shape(rows, F.col("pos") + 1, level)).withColumn("__k", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    best = F.min("__k").over(Window.partitionBy("book"))
-    return out.withColumn("__best", best).where("__k = __best").drop("__k", "__best")
+    return _entries(books, "C").drop("scheme")
 
 
 def by_breaks(books: DataFrame) -> DataFrame:
     """Scheme D: page breaks and rules, titled by the first filled line after them, else 'Section n'."""
-    rows = offsets(books, BREAK, BREAK_AFTER)
-    title = F.coalesce(first_line(F.col("after")), F.concat(F.lit("Section "), (F.col("pos") + 1).cast("string")))
-    return _shape(rows.withColumn("title", F.substring(title, 1, BREAK_MAX)), F.col("raw") + 1, F.lit(1))
+    return _entries(books, "D").drop("scheme")
 
 
 def whole(books: DataFrame) -> DataFrame:
     """Scheme E: the book as one chapter."""
-    title = F.coalesce(F.nullif("title", F.lit("")), F.lit(WHOLE)) if "title" in books.columns else F.lit(WHOLE)
-    rows = books.where("html <> ''").select("book", F.lit(0).alias("pos"), title.alias("title"), F.lit(0).cast("long").alias("char_offset"))
-    return _shape(rows, F.col("raw") + 1, F.lit(1))
+    return _entries(books, "E").drop("scheme")
 
 
 def cascade(books: DataFrame) -> DataFrame:
     """For each book the entries of its first scheme that yields any, with `scheme` A to E."""
-    from .toc import first_source
-
-    schemes = zip("ABCDE", (by_headings, by_anchors, by_paragraphs, by_breaks, whole))
-    return first_source([(name, f(books)) for name, f in schemes], "scheme")
+    return _entries(books, "ABCDE")
 
 
 def sections(books: DataFrame, toc: DataFrame, scope: str = "section", only: DataFrame | None = None) -> DataFrame:

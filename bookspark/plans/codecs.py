@@ -17,13 +17,13 @@ from . import derived as D
 
 
 def epub_files(spark: SparkSession, sf_dir: str, toc: str) -> DataFrame:
-    """An EPUB a host, a page a chapter; NCX and NAV titles are the pages' addresses, so they differ from the files'."""
+    """An EPUB a host, a page a chapter, cached as files would be at hand; NCX and NAV titles are the pages' addresses, so they differ from the files'."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         return pd.DataFrame({"book": [pdf["book"].iloc[0]], "format": ["EPUB"], "content": [epub.build(pdf["book"].iloc[0], "nobody", list(zip(pdf["url"], pdf["html"])), toc)]})
 
-    return D.spine(spark, sf_dir).select("book", "pos", "url", "html").groupBy("book").applyInPandas(build, "book string, format string, content binary")
+    return D.spine(spark, sf_dir).select("book", "pos", "url", "html").groupBy("book").applyInPandas(build, "book string, format string, content binary").cache()
 
 
 def mobi_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mobi_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = list(zip(*(c.to_pylist() for c in b.columns)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(["MOBI"] * len(rows)), pa.array([palm.build(r[2], r[1]) for r in rows], pa.binary())], names=["book", "format", "content"])
 
-    return D.markup(spark, sf_dir).select("book", "html", "title").mapInArrow(build, "book string, format string, content binary")
+    return D.markup(spark, sf_dir).select("book", "html", "title").mapInArrow(build, "book string, format string, content binary").cache()
 
 
 def _toc(files: DataFrame) -> DataFrame:
@@ -88,12 +88,12 @@ def mobi_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown; what is counted can be counted in the markup as well."""
     none = F.lit(None).cast("string")
-    pages = D.table(spark, sf_dir, "pages").withColumn("md", H.html_to_markdown("html", none, none))
+    pages = D.spread(D.table(spark, sf_dir, "pages").select("page_id", "html")).withColumn("md", H.html_to_markdown("html", none, none))
     return pages.select("page_id", F.regexp_count("md", F.lit(r"(?m)^# ")).cast("long").alias("headings"), F.md5(F.regexp_extract("md", r"(?m)^# (.*)$", 1).cast("binary")).alias("heading_md5"), F.regexp_count("md", F.lit(r"(?m)^- \[")).cast("long").alias("links"), F.col("md").rlike("<[a-z/]|track\\(|margin:").alias("has_markup"))
 
 
 def palmdoc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.table(spark, sf_dir, "documents").withColumn("packed", reader.palmdoc_compress(F.col("text").cast("binary")))
+    docs = D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("packed", reader.palmdoc_compress(F.col("text").cast("binary")))
     return docs.select("doc_id", F.md5(reader.palmdoc_decompress("packed")).alias("text_md5"), (F.length("packed") <= F.octet_length("text") * 9 / 8 + 8).alias("bounded"))
 
 

@@ -10,10 +10,24 @@ TOTAL = 400
 PRINTED_TOTAL, PRINTED_LINES = 60, 10
 
 
+#: Bytes of a file from which on it is worth dealing its rows to idle cores.
+SPREAD_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it would be read by fewer tasks, as one file of one row group is; else df itself.
+
+    For functions that cost far more than a row's shuffle.  Tables of many files, which large ones are, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size >= SPREAD_BYTES and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _pos(*by: str):
     return (F.row_number().over(Window.partitionBy("book").orderBy(*by)) - 1).cast("int")
 
@@ -147,8 +161,8 @@ def _noisy(text: str) -> str:
 
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, kind, raw: noisy documents, tagless pages, and events' properties"""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), F.expr(_noisy("text").replace("chr(8203)", r"'​'")).alias("raw"))
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.regexp_replace("html", "<[^>]+>", "").alias("raw"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), F.expr(_noisy("text").replace("chr(8203)", r"'​'")).alias("raw"))
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.regexp_replace("html", "<[^>]+>", "").alias("raw"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.col("props").alias("raw"))
     return d.unionByName(p).unionByName(e)
 

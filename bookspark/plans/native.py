@@ -154,20 +154,20 @@ def chapter_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.strip_tags(F.col("html"))
-    return D.table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n"), F.md5(text.cast("binary")).alias("text_md5"))
+    return D.spread(D.table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.length(text).cast("long").alias("n"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
 def content_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "documents").select("doc_id", P.stats(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", P.stats(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.array_join(P.first_lines(F.col("text")), "\n").alias("first_lines"))
+    return D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(P.first_lines(F.col("text")), "\n").alias("first_lines"))
 
 
 def purge_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.purge_flat(F.col("html"))
-    return D.table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n"), F.md5(text.cast("binary")).alias("html_md5"))
+    return D.spread(D.table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.length(text).cast("long").alias("n"), F.md5(text.cast("binary")).alias("html_md5"))
 
 
 def clean_ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:

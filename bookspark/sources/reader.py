@@ -30,6 +30,10 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return with_format(reader.load(path))
 
 
+#: Which files below a folder are read for each kind of book.
+EPUB_GLOB, MOBI_GLOB = "*.[eE][pP][uU][bB]", "*.{[mM][oO][bB][iI],[aA][zZ][wW],[aA][zZ][wW]3,[pP][rR][cC]}"
+
+
 def with_format(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("book"), book_format(F.col("path")).alias("format"), "length", "content")
 
@@ -133,10 +137,13 @@ def palmdoc_compress(data: pa.Array) -> pa.Array:
     return pa.array([None if d is None else palm.compress(d) for d in data.to_pylist()], pa.binary())
 
 
-def epubs(files: DataFrame) -> DataFrame:
-    """files (book, format, content) that are EPUBs, or MOBI files that hold one, with their index; format KF8 marks the latter."""
+def epubs(files: DataFrame, mobi_files: DataFrame | None = None) -> DataFrame:
+    """files (book, format, content) that are EPUBs, or MOBI files that hold one, with their index; format KF8 marks the latter.
+
+    mobi_files: where MOBI files stand if not among files, so that each kind is scanned for itself.
+    """
     plain = files.where("format = 'EPUB'").select("book", "format", "content")
-    packed = files.where("format = 'MOBI'").select("book", F.lit("KF8").alias("format"), mobi_index("content").alias("m")).where("m.epub is not null").select("book", "format", F.col("m.epub").alias("content"))
+    packed = (files if mobi_files is None else mobi_files).where("format = 'MOBI'").select("book", F.lit("KF8").alias("format"), mobi_index("content").alias("m")).where("m.epub is not null").select("book", "format", F.col("m.epub").alias("content"))
     return plain.unionByName(packed).withColumn("index", epub_index("content"))
 
 

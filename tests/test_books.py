@@ -184,7 +184,7 @@ def test_ingest(spark, tmp_path):
 
 def test_read_folder(spark, tmp_path):
     (tmp_path / "a.epub").write_bytes(epub.build("A", "", [("One", CH1)], "spine"))
-    (tmp_path / "b.azw3").write_bytes(palm.build("B", "<hr>one<hr>two"))
+    (tmp_path / "b.azw3").write_bytes(palm.build("B", "<hr>one\n<hr>two"))
     books = Library(spark).read(str(tmp_path))
     assert sorted((r.book.rsplit("/")[-1], r.title) for r in books.toc().collect()) == [("a.epub", "第1章 起步"), ("b.azw3", "one"), ("b.azw3", "two")]
     assert books.select(index=1).select(F.count("*")).first()[0] == 2
