@@ -31,7 +31,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     Texts are split at \\n.  Each document gives its distinct line keys of at least min_chars code points as 128-bit
     hashes; keys found in min_docs documents lose all their lines except in the largest doc_id that holds them.  Only
     hashes are shuffled for counting, combined before the shuffle, so a line that a third of all documents share is one
-    partial count a task; the join that brings verdicts back is a plain equi-join that Spark may split.
+    partial count a task; the common keys are cut to a table, so the join that brings verdicts back is between two tables
+    and Spark may broadcast the small one or split a hot key.
 
     Null or empty text: one empty line.  Every row counts as a document of its own, and rows tied for the largest id
     keep the line.  A null id is smaller than any other.  Empty table: no rows.  Other columns are not read.
@@ -58,7 +59,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     body = docs.select(F.col(doc_id).alias("doc_id"), common.bytes_col(text).alias("body"))
     keys = common.cut(body.select("doc_id", F.explode(digests("body")).alias("key")), "lines")
     common_keys = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    verdicts = keys.join(common_keys.select(F.col("key").alias("common"), "keeper"), F.col("key") == F.col("common")).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    common_keys = common.cut(common_keys.select(F.col("key").alias("common"), "keeper"), "common-lines")
+    verdicts = keys.join(common_keys, F.col("key") == F.col("common")).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = verdicts.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("drops"))
     both = body.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     return both.select("doc_id", keep("body", "drops").alias("o")).select("doc_id", "o.n_lines", "o.n_dropped", "o.kept_text")
