@@ -17,7 +17,7 @@ from . import common
 #: Rounds of random signs and Hadamard transforms that stand for one random rotation; buckets a vector looks into in each table.
 ROUNDS, PROBES = 3, 4
 #: Rows of a bucket that are compared in one cell, rows that a task holds at once, and pairs that are verified at once.
-CELL, HELD, PAIRS = 512, 1 << 13, 1 << 14
+CELL, HELD, PAIRS = 256, 1 << 13, 1 << 14
 #: Chance, at the threshold itself, that a pair is found; pairs above the threshold are found more surely.
 RECALL = 0.95
 
