@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import common, decontaminate, langid, mixing, simhash, tokens
+from bookspark.llm import common, decontaminate, langid, minhash, mixing, tokens
 from bookspark.llm.queries import TOKENIZER
 
 #: The columns of documents, which every stage but the last returns.
@@ -34,13 +34,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group: the one with the smallest id.
+    """Keeps one document of each group of near copies: the one with the smallest id.
 
-    The groups are of op6: shingles of three words, 3 or fewer differing bits.  Where rows repeat the smallest id, one
-    row of each fingerprint stays, the one whose text hashes least.
+    Documents link at a Jaccard similarity of 0.8 or more between their sets of five-word shingles.  Where rows repeat the
+    smallest id, one row of each set stays, the one whose text hashes least.
     """
     docs = _columns(docs).withColumn("__hash", F.xxhash64("text"))
-    groups = common.cut(simhash.simhash_groups(docs, carry=("__hash",)), "groups")
+    groups = common.cut(minhash.similar_groups(docs, carry=("__hash",)), "groups")
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.min("__hash").alias("__least"), F.count(F.lit(1)).alias("n"))
     kept = first.select(F.col("doc_id").alias("__id"), "__least").distinct()
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__least")))
@@ -71,13 +71,13 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
+    ("near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("mixing to target weights", mixing_stage),
     ("token tables", token_stage),
 ]
 
-#: Language ID, XXH64 fingerprints and BPE are not for SQL; tests/llm holds run() against a brute-force version.
+#: Language ID, MinHash and BPE are not for SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

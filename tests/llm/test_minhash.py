@@ -1,0 +1,85 @@
+import random
+
+import corpus_pipeline as C
+from bookspark.llm import minhash as M
+
+
+def brute_sets(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts, least=0.8):
+    """Least index of each text's group, by all pairs of shingle sets."""
+    sets, up = [brute_sets(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if len(a & b) >= least * len(a | b):
+                p, q = sorted((root(i), root(j)))
+                up[q] = p
+    return [root(i) for i in range(len(texts))]
+
+
+def _frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _copies(rng, edits):
+    """A text of 200 words and copies of it with so many words replaced, far apart."""
+    words = [rng.choice("abcdefghij") + str(rng.randrange(10_000)) for _ in range(200)]
+    out = [" ".join(words)]
+    for k, n in enumerate(edits):
+        copy = list(words)
+        for at in range(n):
+            copy[10 + 15 * at] = f"new{k}x{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_similarity_decides():
+    a, b = M.shingles(b"A b c d e f g h i j"), M.shingles(b"a b c d e f g h i k")
+    assert len(a) == len(b) == 6 and M.similar(a, b, 5 / 7) and not M.similar(a, b, 0.72)
+    assert len(M.shingles(b"one two")) == 1 and len(M.shingles(None)) == len(M.shingles(b" \n")) == 0
+
+
+def test_stage_drops_near_copies_from_080(spark, tiny):
+    """Copies at a similarity of 0.82 to 0.95, of which three words and 3 bits miss most, and looser ones that must stay."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        texts += _copies(rng, [1, 2, 3, 4, 7, 9])
+    texts += ["", None, "  ", "one two", "one two three"]
+    want = {i for i, g in enumerate(brute_groups(texts)) if i == g}
+    assert 30 < len(want) < len(texts) - 100
+    assert {r.doc_id for r in C.near_duplicate_stage(spark, _frame(spark, texts), tiny).collect()} == want
+
+
+def test_groups_in_cells(spark, monkeypatch):
+    """A crowd of near copies larger than a cell, a chain, and texts that share a passage only."""
+    monkeypatch.setattr(M, "CELL", 8)
+    rng = random.Random(6)
+    texts = _copies(rng, [1] * 60 + [3] * 20)
+    texts += [" ".join([*(f"s{k}" for k in range(60)), *(f"t{i}x{k}" for k in range(40))]) for i in range(40)]
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(8):
+        texts.append(" ".join(chain))
+        chain = chain[3:] + [f"d{k}x{x}" for x in range(3)]
+    got = {r.doc_id: r.component_id for r in M.similar_groups(_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts)
+
+
+def test_documents(documents):
+    rows = sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
+    want = {rows[i][0]: rows[g][0] for i, g in enumerate(brute_groups([t for _, t in rows]))}
+    assert {r.doc_id: r.component_id for r in M.similar_groups(documents).collect()} == want
+
+
+def test_odd_tables(odd, empty):
+    got = {(r.doc_id, r.component_id) for r in M.similar_groups(odd).collect()}
+    assert {(1, 1), (3, 3), (4, 3), (5, 3), (7, 7), (None, None)} <= got and M.similar_groups(empty).count() == 0
