@@ -62,7 +62,7 @@ class Windows:
             k = min(window, len(w))
             for i in range(len(w) - k + 1 if k else 0):
                 owners[k][b" %s " % b" ".join(w[i : i + k])].add(item)
-        self.owners = {k: {p: sorted(v) for p, v in x.items()} for k, x in owners.items()}
+        self.owners = {k: {p: sorted(i for i in v if i is not None) for p, v in x.items()} for k, x in owners.items()}
         self.search = {k: WuManber(x) for k, x in self.owners.items()}
 
     def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -117,16 +117,17 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     searched one after another in the same pass and their hits merged, so only one block's items are on the driver at a time and
     nothing is shuffled.
 
-    Null or empty text: no words.  Items that are null or have no words have no windows; null item ids are ignored.
+    Null or empty text: no words.  Items that are null or have no words have no windows; those with a null id
+    count in spans but are not listed in items.
     Items with equal texts are all reported.  Empty benchmark: no hits.  All columns of docs stay; one that is already
     named as `into` is replaced.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), common.bytes_col(item_text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), common.bytes_col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK_BYTES))
     parts = []
     for k in range(n):
-        got = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        got = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         windows = Windows([(r["i"], bytes(r["t"])) for r in got.collect()], window)
         parts.append(_searcher(windows)(common.bytes_col(text)))
     if n == 1:
