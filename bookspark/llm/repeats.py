@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .suffixes import suffix_array
 
-#: Bytes of documents that are hashed together, and runs and windows that a task gathers before it passes them on.
-BATCH, GATHERED, WINDOWS = 1 << 20, 1 << 19, 1 << 16
-#: Texts of one key that are put into a suffix array; keys with more are resolved window by window.
-SORTED = 64
-#: Symbols of one suffix array.
-ARRAY = 1 << 16
-#: Input bytes for one bucket of keys, and the least and most buckets.
-BUCKET_BYTES, LEAST, MOST = 4 << 20, 512, 1 << 20
+#: Bytes of documents that are hashed together, and runs that a task gathers before it passes them on.
+BATCH, GATHERED = 1 << 20, 1 << 19
+#: Most symbols of the texts that share an anchor and are put into one suffix array; larger groups get longer anchors.
+ARRAY = 1 << 15
+#: Contents of one key among a task's gathered runs from which they are dealt by content, not by key.
+SPREAD = 64
+#: Input bytes for one bucket of keys, and the least number of buckets.
+BUCKET_BYTES, LEAST = 16 << 20, 512
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -43,16 +43,17 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def window_runs(texts: list[bytes], length: int, core: int) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows of `length` bytes that have the same core: text, start, windows - 1, core's place in the
-    first window, key (hash of the core) and content (hash of the run's bytes).
+    first window, key (hash of the core) and content (128-bit BLAKE2b digest of the run's bytes, as two numbers).
 
     A window's core is the `core`-byte string in it with the least hash, the first of equal ones, so it depends on the
     window's bytes alone: equal windows have equal keys and the core in the same place.
     """
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, dtype=np.uint8)
     n = len(data)
     ends = np.cumsum([len(t) for t in texts])
     if n < length:
-        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return (*(np.empty(0, dtype=np.int64) for _ in range(4)), np.empty(0, dtype=_U), np.empty((0, 2), dtype=_U))
     up, down = _powers_to(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
@@ -74,11 +75,11 @@ def window_runs(texts: list[bytes], length: int, core: int) -> tuple[np.ndarray,
     last = ends[text] - length  # the last window within the text
     ok = start <= last
     start, stop, text = start[ok], np.minimum(stop[ok], last[ok]), text[ok]
-    content = _mix((total[stop + length] - total[start]) * down[start] + (stop - start).astype(np.uint64))
-    return text, start - begins[text], stop - start, at[start] - start, h[at[start]], content
+    content = b"".join([blake2b(joined[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), (stop + length).tolist())])
+    return text, start - begins[text], stop - start, at[start] - start, h[at[start]], np.frombuffer(content, dtype="<u8").reshape(-1, 2)
 
 
-_RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("place", "u1")])
+_RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("content2", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("place", "u1")])
 
 
 def _pack(runs: np.ndarray) -> bytes:
@@ -97,51 +98,63 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _first_of(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs sorted by (key, content, doc, start), and whether each is the first of its key and content."""
-    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["content"], runs["key"]))]
+    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["content2"], runs["content"], runs["key"]))]
     first = np.ones(len(runs), dtype=bool)
-    first[1:] = (runs["key"][1:] != runs["key"][:-1]) | (runs["content"][1:] != runs["content"][:-1])
+    first[1:] = (runs["key"][1:] != runs["key"][:-1]) | (runs["content"][1:] != runs["content"][:-1]) | (runs["content2"][1:] != runs["content2"][:-1])
     return runs, first
 
 
-_FOUND = "doc long, start long, more int, place int, key long, many boolean"
-_FOUND_NAMES = ["doc", "start", "more", "place", "key", "many"]
+def _contents(runs: np.ndarray) -> np.ndarray:
+    """For each of the first runs in order of key, how many its key has."""
+    new = np.ones(len(runs), dtype=bool)
+    new[1:] = runs["key"][1:] != runs["key"][:-1]
+    number = np.cumsum(new) - 1
+    return np.bincount(number)[number] if len(runs) else np.empty(0, dtype=np.int64)
 
 
-def _found(runs: np.ndarray, many: np.ndarray | None) -> pa.RecordBatch:
-    """many None: all windows of these runs start earlier elsewhere, too.  Else: first runs whose windows may do so."""
+#: How packed runs are dealt and what they are: by key; later runs of a content; by content, of a key that has many; and
+#: one run that tells its key's bucket that the key is such.
+BY_KEY, AGAIN, SPREAD_OUT, TOLD = range(4)
+_FOUND = "doc long, start long, more int, place int, kind byte, content binary"
+
+
+def _found(runs: np.ndarray, kind: int) -> pa.RecordBatch:
+    """AGAIN: all windows of these runs start earlier elsewhere, too.  BY_KEY: first runs whose windows may do so.
+    SPREAD_OUT: runs of which those that are the first of their content may do so."""
     n = len(runs)
-    key = pa.array(runs["key"].view(np.int64)) if many is not None else pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["start"].astype(np.int64)), pa.array(runs["more"].astype(np.int32)), pa.array(runs["place"].astype(np.int32)), key, pa.array(many) if many is not None else pa.nulls(n, pa.bool_())], names=_FOUND_NAMES)
+    content = pa.nulls(n, pa.binary())
+    if kind == SPREAD_OUT:
+        whole = np.ascontiguousarray(np.stack([runs["key"], runs["content"], runs["content2"]], axis=1)).tobytes()
+        content = pa.array([whole[i : i + 24] for i in range(0, len(whole), 24)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["start"].astype(np.int64)), pa.array(runs["more"].astype(np.int32)), pa.array(runs["place"].astype(np.int32)), pa.array(np.full(n, kind, dtype=np.int8)), content], names=["doc", "start", "more", "place", "kind", "content"])
 
 
-def equal_windows(texts: list[tuple[int, int, int, int, int, bytes]], length: int, core: int) -> list[tuple[int, int]]:
-    """(doc, start) of windows that also start earlier, among (key, doc, start, windows - 1, core's place, bytes) of whole keys.
+def equal_windows(texts: list[tuple[bytes, int, int, int, int, bytes]], length: int) -> list[tuple[int, int]]:
+    """(doc, start) of windows that also start earlier, among (anchor, doc, start, windows - 1, anchor's place, bytes).
 
-    One suffix array holds all texts of the batch.  The core, which texts of a key share, is one symbol of its own, so a
-    window is `length - core + 1` symbols; separators are the least symbol.  Equal windows are next to each other among
-    the windows' suffixes.
+    One suffix array holds all texts.  The anchor, bytes that lie in all windows of a text and at the same place in equal
+    ones, is one symbol of its own, so a window is `length - len(anchor) + 1` symbols; separators are the least
+    symbol.  Equal windows are next to each other among the windows' suffixes.
     """
-    keys: dict[int, int] = {}
+    anchors: dict[bytes, int] = {}
     codes: list[int] = []
-    owner: dict[int, tuple[int, int]] = {}
-    for key, doc, start, more, place, body in texts:
-        symbol = keys.setdefault(key, 257 + len(keys))
+    owner: dict[int, tuple[int, int, int]] = {}
+    for anchor, doc, start, more, place, body in texts:
+        symbol = anchors.setdefault(anchor, 257 + len(anchors))
         at = len(codes)
-        # the core begins at the same byte for all windows of the run
         codes += [1 + b for b in body[:place]]
         codes.append(symbol)
-        codes += [1 + b for b in body[place + core :]]
+        codes += [1 + b for b in body[place + len(anchor) :]]
         codes.append(0)
         for i in range(more + 1):
-            owner[at + i] = (doc, start + i)
-    width = length - core + 1
+            owner[at + i] = (doc, start + i, length - len(anchor) + 1)
     array = np.array(codes, dtype="<u4").tobytes()
     out: list[tuple[int, int]] = []
     least = previous = None
     for s in suffix_array(codes):
         if s in owner:
-            window = array[4 * s : 4 * (s + width)]
-            here = owner[s]
+            doc, start, width = owner[s]
+            window, here = array[4 * s : 4 * (s + width)], (doc, start)
             if window == previous:
                 out.append(max(here, least))
                 least = min(here, least)
@@ -187,17 +200,21 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     document further left.  Matches never cross documents and are judged on the input.
 
     1. Windows of `length` bytes are cut into runs with one core (see window_runs), about one run for 25 windows, and
-       only the runs' hashes are shuffled.  A run with the key and content of an earlier one is removed whole; a task
-       passes on just its first of each.  Runs alone in their key are unique: no window of theirs can occur elsewhere.
+       only the runs' hashes are shuffled.  A run whose key and 128-bit BLAKE2b digest are those of an earlier one is
+       removed whole; a task passes on just its first of each.  Runs alone in their key are unique: no window of theirs can
+       occur elsewhere.  Runs of a key that has many contents within one task are dealt by content instead, and a
+       mark sent to the key's bucket has the others follow, so that no task gets all of a hot key.
     2. What is left are keys with several contents: texts around an edit or at the edge of a passage.  Only their first
-       runs' bytes are fetched, and all of a batch of keys are sorted in one suffix array (see suffixes); equal windows
-       are neighbours there.
-    3. A key with over SORTED contents, such as the edge of a passage that a third of all documents share, is too much
-       for one task.  Its windows are told apart by a 128-bit hash of their bytes instead, which finds the same ones; a task
-       settles those it sees twice and passes on one of each.
+       runs' bytes are fetched.  Texts with one anchor, at first the core, are sorted in one suffix array (see
+       suffixes); equal windows are neighbours there.
+    3. Texts of an anchor with over ARRAY symbols, such as those at the edge of a passage that a third of all documents
+       share, are cut in two by the core's place in their windows.  All windows of a half have more bytes in common than the
+       core; these become its anchor, so texts that differ there part.  Equal halves are settled at once, and what is
+       still too large is halved again.  At last a half is one window and its anchor all of it.  A text is
+       halved six times at most, and as a rule one of its halves parts from all others each time.
     4. Removed windows go back to their documents.
 
-    Hashes of runs are 64 bits of key and 64 of content, compared together.  Null text is empty.  Rows of equal ids would share a
+    Whole runs are told apart by digests, all else byte by byte.  Null text is empty.  Rows of equal ids would share a
     document's removed windows, so the result is defined for distinct non-null ids; repeated or null ids are numbered apart first, in order of
     their texts' hashes, null before all.  Empty table: no rows.  Other columns are not read.
     """
@@ -206,8 +223,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(common.bytes_col(text), F.lit(b"")).alias("body"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 56:  # Spark cannot tell
+        size = body.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     buckets = LEAST
-    while buckets < MOST and buckets * BUCKET_BYTES < size:
+    while buckets * BUCKET_BYTES < size:
         buckets *= 2
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,23 +239,30 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 return
             all_runs, first = _first_of(np.concatenate(held))
             held, n = [], 0
-            again = all_runs[~first]
-            keep = all_runs[first]
-            bucket = (keep["key"] >> _U(20)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            keep, bucket = keep[order], bucket[order]
-            edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(keep)] if len(keep) else np.zeros(1, dtype=np.int64)
-            at = [int(bucket[i]) for i in edges[:-1]]
-            data = [_pack(keep[i:j]) for i, j in zip(edges[:-1], edges[1:])]
-            spare = [_pack(again[i : i + 4096]) for i in range(0, len(again), 4096)]
-            at += [(i * 977) % buckets for i in range(len(spare))]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([False] * len(data) + [True] * len(spare)), pa.array(data + spare, pa.binary())], names=["bucket", "again", "runs"])
+            again, keep = all_runs[~first], all_runs[first]
+            many = _contents(keep) >= SPREAD
+            told = many & np.r_[True, keep["key"][1:] != keep["key"][:-1]]
+            at, kinds, data = [], [], []
+            for kind, part in ((BY_KEY, keep[~many]), (TOLD, keep[told])):
+                bucket = (part["key"] >> _U(20)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                part, bucket = part[order], bucket[order]
+                edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(part)] if len(part) else np.zeros(1, dtype=np.int64)
+                at += [int(bucket[i]) for i in edges[:-1]]
+                data += [_pack(part[i:j]) for i, j in zip(edges[:-1], edges[1:])]
+                kinds += [kind] * (len(data) - len(kinds))
+            for kind, part in ((AGAIN, again), (SPREAD_OUT, keep[many])):
+                data += [_pack(part[i : i + 4096]) for i in range(0, len(part), 4096)]
+                at += [(i * 977) % buckets for i in range(len(data) - len(at))]
+                kinds += [kind] * (len(data) - len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int8()), pa.array(data, pa.binary())], names=["bucket", "kind", "runs"])
 
         def work(ids: list[int], texts: list[bytes], at: int = 0) -> None:
             nonlocal n
             text_no, start, more, place, key, content = window_runs(texts, length, core)
             out = np.empty(len(start), dtype=_RUN)
-            out["doc"], out["start"], out["more"], out["place"], out["key"], out["content"] = np.array(ids, dtype=np.int64)[text_no], start + at, more, place, key, content
+            out["doc"], out["start"], out["more"], out["place"], out["key"] = np.array(ids, dtype=np.int64)[text_no], start + at, more, place, key
+            out["content"], out["content2"] = content[:, 0], content[:, 1]
             held.append(out)
             n += len(out)
 
@@ -265,38 +291,43 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         yield from flush()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, held, told = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            all_runs, first = _first_of(np.concatenate(held))
-            yield _found(all_runs[~first], None)
-            keep = all_runs[first]
-            new = np.r_[True, keep["key"][1:] != keep["key"][:-1]]
-            number = np.cumsum(new) - 1
-            contents = np.bincount(number)[number]
-            keep, contents = keep[contents > 1], contents[contents > 1]
-            yield _found(keep, contents > SORTED)
+            runs = np.concatenate(held)
+            if told:  # their keys' other runs are not here
+                out = np.isin(runs["key"], np.concatenate(told)["key"])
+                yield _found(runs[out], SPREAD_OUT)
+                runs = runs[~out]
+            runs, first = _first_of(runs)
+            yield _found(runs[~first], AGAIN)
+            keep = runs[first]
+            yield _found(keep[_contents(keep) > 1], BY_KEY)
 
         for b in batches:
-            for bucket, again, data in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, kind, data in zip(*(c.to_pylist() for c in b.columns)):
                 got = _unpack(data)
-                if again:
-                    yield _found(got, None)
+                if kind in (AGAIN, SPREAD_OUT):
+                    yield _found(got, kind)
                     continue
                 if bucket != current:
                     yield from done()
-                    current, held = bucket, []
-                held.append(got)
+                    current, held, told = bucket, [], []
+                (told if kind == TOLD else held).append(got)
         yield from done()
 
     body = _numbered(body)
-    dealt = body.select("place", "body").mapInArrow(runs, "bucket int, again boolean, runs binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = body.select("place", "body").mapInArrow(runs, "bucket int, kind byte, runs binary").repartition("bucket").sortWithinPartitions("bucket")
     found = common.cut(dealt.mapInArrow(resolve, _FOUND), "runs")
     common.tidy(spark)
 
-    wanted = found.where("key is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "more", "place", "key", "many")).alias("want"))
+    spread = found.where(F.col("kind") == SPREAD_OUT).select("doc", "start", "more", "place", "content")
+    first = spread.groupBy(F.col("content").alias("of")).agg(F.min(F.struct("doc", "start")).alias("first"))
+    spread = common.cut(spread.join(first, F.col("content") == F.col("of")).withColumn("again", F.struct("doc", "start") != F.col("first")).select("doc", "start", "more", "place", "again"), "spread")
+    wanted = found.where(F.col("kind") == BY_KEY).select("doc", "start", "more", "place").unionByName(spread.where("not again").drop("again"))
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "more", "place")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,67 +335,18 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             for doc, t, want in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 t = t.as_py()
                 for w in want.as_py():
-                    rows.append((w["key"], w["many"], doc, w["start"], w["more"], w["place"], t[w["start"] : w["start"] + w["more"] + length]))
+                    rows.append((doc, w["start"], w["more"], w["place"], t[w["start"] : w["start"] + w["more"] + length]))
             for i in range(0, len(rows), 8192):
                 part = rows[i : i + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["key", "many", "doc", "start", "more", "place", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc", "start", "more", "place", "body"])
 
     texts = body.join(wanted, F.col("place") == F.col("doc")).select(F.col("place"), "body", "want")
-    texts = common.cut(texts.mapInArrow(fetch, "key long, many boolean, doc long, start long, more int, place int, body binary"), "texts")
+    texts = common.cut(texts.mapInArrow(fetch, "doc long, start long, more int, place int, body binary"), "texts")
     common.tidy(spark)
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        symbols = 0
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            again = ranges(equal_windows(rows, length, core))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc", "start", "more"])
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if symbols >= ARRAY and row[0] != held[-1][0]:
-                    yield out(held)
-                    held, symbols = [], 0
-                held.append(row)
-                symbols += len(row[5]) - core + 2
-        if held:
-            yield out(held)
-
-    few = texts.where(~F.col("many")).select("key", "doc", "start", "more", "place", "body")
-    by_array = few.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc long, start long, more int")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple[int, int]] = {}  # the task's first place of each window
-        later: list[tuple[int, int]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = [(None, d, s, more) for d, s, more in ranges(later)] + [(w, d, s, 0) for w, (d, s) in first.items()]
-            later.clear()
-            first.clear()
-            for i in range(0, len(rows), 1 << 15):
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + (1 << 15)]], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32()))], names=["window", "doc", "start", "more"])
-
-        for b in batches:
-            for d, s, t in zip(*(c.to_pylist() for c in b.columns)):
-                for k in range(len(t) - length + 1):
-                    w, here = xxhash.xxh3_128_digest(t[k : k + length]), (d, s + k)
-                    known = first.setdefault(w, here)
-                    if known != here:
-                        first[w] = min(known, here)
-                        later.append(max(known, here))
-                if len(first) + len(later) >= WINDOWS:
-                    yield from out()
-        yield from out()
-
-    spread = common.cut(texts.where("many").select("doc", "start", "body").mapInArrow(hashes, "window binary, doc long, start long, more int"), "spread")
-    least = spread.where("window is not null").groupBy(F.col("window").alias("w")).agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    across = spread.join(least, F.col("window") == F.col("w")).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start", "more")
-    by_hash = spread.where("window is null").select("doc", "start", "more").unionByName(across)
-    late = common.cut(by_array.unionByName(by_hash), "windows")
+    late = common.cut(_settled(texts, length, core), "windows")
     common.tidy(spark)
 
-    gone = found.where("key is null").select("doc", "start", "more").unionByName(late)
+    gone = found.where(F.col("kind") == AGAIN).select("doc", "start", "more").unionByName(spread.where("again").select("doc", "start", "more")).unionByName(late)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "more")).alias("gone"))
 
     @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary")
@@ -379,6 +361,68 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return both.select("doc_id", apply("body", "gone").alias("o")).select("doc_id", "o.n_bytes", "o.n_removed", "o.n_spans", "o.kept")
 
 
+def _settled(texts: DataFrame, length: int, core: int) -> DataFrame:
+    """(doc, start, more): the windows that start earlier, too, among texts (doc, start, more, place, body) told apart."""
+    spark = texts.sparkSession
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # whole groups of two texts or more, then the group that is being read
+        begun = symbols = 0
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            again = ranges(equal_windows(rows, length))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc", "start", "more"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and row[0] != held[-1][0]:
+                    if begun == len(held) - 1:  # a text alone
+                        symbols -= len(held[-1][5]) - len(held.pop()[0]) + 2
+                    if symbols >= ARRAY:
+                        yield out(held)
+                        held, symbols = [], 0
+                    begun = len(held)
+                held.append(row)
+                symbols += len(row[5]) - len(row[0]) + 2
+        if begun < len(held) - 1 or begun:
+            yield out(held)
+
+    level = texts.withColumn("anchor", F.expr(f"substring(body, place + 1, {core})")).withColumn("at", F.col("place"))
+    width = 1 << (length - core).bit_length()
+    out = []
+    while True:
+        sizes = level.groupBy("anchor").agg(F.sum(F.octet_length("body") - F.octet_length("anchor") + 2).alias("n"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        sizes = common.cut(sizes.groupBy((F.col("n") > ARRAY).alias("hot"), F.when(F.col("n") > ARRAY, F.col("anchor")).alias("over")).agg(F.sum("n").alias("n")), "sizes")
+        symbols, hot = sizes.agg(F.sum("n"), F.count("over")).first()
+        over = sizes.where("hot").select("over")
+        cold = level.join(over, F.col("anchor") == F.col("over"), "left_anti") if hot else level
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(symbols or 0) // (4 * ARRAY)))
+        cold = cold.select("anchor", "doc", "start", "more", "at", "body").repartition(parts, "anchor").sortWithinPartitions("anchor")
+        out.append(cold.mapInArrow(sort, "doc long, start long, more int"))
+        if not hot:
+            break
+        width //= 2
+        level = level.join(over, F.col("anchor") == F.col("over"), "left_semi")
+        halves = level.withColumn("j", F.explode(F.expr(f"sequence(cast(floor((place - more) / {width}) as int), cast(floor(place / {width}) as int))")))
+        halves = halves.withColumn("most", F.expr(f"least(place, j * {width} + {width - 1})")).withColumn("last", F.expr(f"least(j * {width} + {width - 1}, {length - core})"))
+        halves = halves.selectExpr(
+            "doc", "start + place - most as start", f"cast(most - greatest(place - more, j * {width}) as int) as more", "cast(most as int) as place", f"cast(most - j * {width} as int) as at",
+            f"substring(body, place - most + 1, most - greatest(place - more, j * {width}) + {length}) as body", f"substring(body, place - j * {width} + 1, {length} - (last - j * {width})) as anchor")
+        halves = common.cut(halves, "halves")
+        first = halves.groupBy("anchor", "place", "body").agg(F.min(F.struct("doc", "start", "more", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
+        first = common.cut(first, "first")
+        twice = first.where("c > 1").select(F.col("anchor").alias("a"), F.col("place").alias("p"), F.col("body").alias("b"), "first")
+        again = halves.join(twice, (F.col("anchor") == F.col("a")) & (F.col("place") == F.col("p")) & (F.col("body") == F.col("b")))
+        out.append(again.where(F.struct("doc", "start") != F.struct("first.doc", "first.start")).select("doc", "start", "more"))
+        if width == 1:
+            break
+        level = first.select("anchor", "place", "body", "first.*")
+    late = out[0]
+    for more in out[1:]:
+        late = late.unionByName(more)
+    return late
+
+
 def _numbered(body: DataFrame) -> DataFrame:
     """Adds place, which orders rows as doc_id does but is distinct and never null.
 

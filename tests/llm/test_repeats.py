@@ -66,11 +66,11 @@ def _texts(seed, alphabet, n):
     return out
 
 
-@pytest.mark.parametrize("sorted_, gathered", [(64, 1 << 20), (2, 50), (1, 1 << 20)])
+@pytest.mark.parametrize("array, spread, gathered", [(1 << 15, 64, 1 << 20), (60, 2, 50), (1, 1, 1 << 20)])
 @pytest.mark.parametrize("seed, alphabet", [(1, b"abcdefgh"), (2, b"ab"), (3, "é日a ".encode())])
-def test_against_brute_force(spark, monkeypatch, sorted_, gathered, seed, alphabet):
-    """With suffix arrays for all keys, for small keys only, and for none."""
-    for name, value in (("SORTED", sorted_), ("GATHERED", gathered), ("WINDOWS", gathered), ("ARRAY", 300), ("BATCH", 150)):
+def test_against_brute_force(spark, monkeypatch, array, spread, gathered, seed, alphabet):
+    """With one suffix array a core, with cores whose texts are halved and dealt by content, and with all of them so."""
+    for name, value in (("ARRAY", array), ("SPREAD", spread), ("GATHERED", gathered), ("BATCH", 150)):
         monkeypatch.setattr(R, name, value)
     texts = _texts(seed, alphabet, 60)
     rows = [(7 * i, t) for i, t in enumerate(texts)]
@@ -80,6 +80,16 @@ def test_against_brute_force(spark, monkeypatch, sorted_, gathered, seed, alphab
     assert sum(w[2] for w in want) > 0
 
 
+def test_hot_passage(spark):
+    """Thousands of texts hold one passage between words of their own; some share a few of these, too."""
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    passage, near = word(180), [word(30) for _ in range(40)]
+    rows = [(i, (word(rng.randint(0, 70)) + (rng.choice(near) if rng.random() < 0.5 else "") + passage + word(rng.randint(0, 70))).encode()) for i in range(4000)]
+    df = spark.createDataFrame([(d, bytearray(t)) for d, t in rows], "doc_id long, text binary")
+    assert _got(R.drop_repeats(df)) == sorted(brute(rows), key=repr)
+
+
 def test_documents(documents):
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     assert _got(R.drop_repeats(documents)) == sorted(brute(rows), key=repr)
