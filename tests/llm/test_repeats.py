@@ -66,8 +66,7 @@ def _texts(seed, alphabet, n):
     return out
 
 
-@pytest.mark.parametrize("array, spread, gathered", [(1 << 15, 64, 1 << 20), (60, 2, 50), (1, 1, 1 << 20)])
-@pytest.mark.parametrize("seed, alphabet", [(1, b"abcdefgh"), (2, b"ab"), (3, "é日a ".encode())])
+@pytest.mark.parametrize("array, spread, gathered, seed, alphabet", [(1 << 15, 64, 1 << 20, 1, b"abcdefgh"), (60, 2, 50, 2, b"ab"), (1, 1, 1 << 20, 3, "é日a ".encode())])
 def test_against_brute_force(spark, monkeypatch, array, spread, gathered, seed, alphabet):
     """With one suffix array a core, with cores whose texts are halved and dealt by content, and with all of them so."""
     for name, value in (("ARRAY", array), ("SPREAD", spread), ("GATHERED", gathered), ("BATCH", 150)):
