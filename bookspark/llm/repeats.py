@@ -396,7 +396,7 @@ def _settled(texts: DataFrame, length: int, core: int) -> DataFrame:
         symbols, hot = sizes.agg(F.sum("n"), F.count("over")).first()
         over = sizes.where("hot").select("over")
         cold = level.join(over, F.col("anchor") == F.col("over"), "left_anti") if hot else level
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(symbols or 0) // (4 * ARRAY)))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(symbols or 0) // (64 * ARRAY)))
         cold = cold.select("anchor", "doc", "start", "more", "at", "body").repartition(parts, "anchor").sortWithinPartitions("anchor")
         out.append(cold.mapInArrow(sort, "doc long, start long, more int"))
         if not hot:
