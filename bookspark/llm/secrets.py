@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,8 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "literal")
 
 # How sensitive a part of a target name is, and literals that only stand for a secret.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7, "bearer": 0.8, "key": 0.5, "signature": 0.6, "salt": 0.5}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7, "bearer": 0.8, "key": 0.65, "signature": 0.65, "salt": 0.65}
+HEAD = 16  # longer than any of the fixed words
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
 _TOKEN = re.compile(
@@ -44,70 +47,134 @@ def sensitivity(name: str) -> float:
 
 def randomness(value: str) -> float:
     """0 to 1: entropy of a literal's characters against 4 bits, less for short or word-like literals."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    return min(1.0, bits / 4) * (0.4 if classes == 1 else 1.0) * (0.3 if " " in value else 1.0)
+    return Value.of(value, 0, 0).randomness()
 
 
-def name_literals(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, value, start, end) of the literals that names are assigned, also by way of other names.
+class Value:
+    """What a name resolves to: the characters' shares of literals joined by +, and the literals themselves.
 
-    Statements are NAME or "NAME", an operator (= := : =>), then literals, bare values or names joined by +.  A name on the right
-    stands for the literals it was last assigned above, so `a = "x"` and later `password = a` gives (password, x).
+    A sum keeps references to its parts, not their text, so it takes the same room however often `x = x + x` doubles it; `head`
+    and `tail` are enough of the text to tell placeholders.
     """
-    out: list[tuple[str, str, int, int]] = []
-    known: dict[str, list[tuple[str, int, int]]] = {}
+
+    __slots__ = ("head", "tail", "length", "shares", "parts", "span", "hit")
+
+    def __init__(self, head: str, tail: str, length: float, shares: dict[str, float], parts: tuple[Value, ...], span: tuple[int, int] | None) -> None:
+        self.head, self.tail, self.length, self.shares, self.parts, self.span, self.hit = head, tail, length, shares, parts, span, False
+
+    @staticmethod
+    def of(text: str, start: int, end: int) -> Value:
+        return Value(text[:HEAD], text[-2:], len(text), {c: k / len(text) for c, k in Counter(text).items()}, (), (start, end))
+
+    @staticmethod
+    def sum(parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        length = sum(p.length for p in parts)
+        shares: dict[str, float] = {}
+        for p in parts:
+            for c, k in p.shares.items():
+                shares[c] = shares.get(c, 0.0) + k * (p.length / length if length else 0.0)
+        head = ""
+        for p in parts:
+            if len(head) == HEAD:
+                break
+            head = (head + p.head)[:HEAD]
+        tail = ""
+        for p in reversed(parts):
+            if len(tail) == 2:
+                break
+            tail = (p.tail + tail)[-2:]
+        return Value(head, tail, min(length, 1e300), shares, tuple(parts), None)
+
+    def placeholder(self) -> bool:
+        whole = self.head if self.length <= HEAD else f"{self.head}{self.tail}"
+        return bool(PLACEHOLDER.match(whole)) and (self.length <= HEAD or self.head[0] in "<${yY" or len(self.shares) <= 2)
+
+    def randomness(self) -> float:
+        if self.length < 6 or self.placeholder():
+            return 0.0
+        bits = -sum(k * math.log2(k) for k in self.shares.values() if k > 0)
+        chars = "".join(self.shares)
+        classes = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+        return min(1.0, bits / 4) * (0.4 if classes == 1 else 1.0) * (0.3 if " " in self.shares else 1.0)
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Spans of the literals in it that no earlier call on this value, or one that it is part of, has given."""
+        left = [self]
+        while left:
+            v = left.pop()
+            if not v.hit:
+                v.hit = True
+                if v.span:
+                    yield v.span
+                left.extend(v.parts)
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(target name, value) of the statements that give a name a value, also by way of other names.
+
+    Statements are NAME or "NAME", an operator (= := : =>), then literals, bare values or names joined by +; NAME : TYPE = names
+    a type in between.  A name on the right stands for the value it was last assigned above, so `a = "x"` and later `password = a`
+    gives password the literal x.  Takes time and room in proportion to the text.
+    """
+    known: dict[str, Value] = {}
     target = last = None
-    value: list[tuple[str, int, int]] = []
-    joining = False
+    value: list[Value] = []
+    joining = typed = False
 
-    def close() -> None:
-        nonlocal target, value, joining
+    def close() -> tuple[str, Value] | None:
+        nonlocal target, value, joining, typed
+        done = None
         if target and value:
-            known[target] = value
-            joined = "".join(v for v, _, _ in value)
-            out.extend((target, joined, a, b) for _, a, b in value)
-        target, value, joining = None, [], False
+            done = target, Value.sum(value)
+            known[target] = done[1]
+        target, value, joining, typed = None, [], False, False
+        return done
 
     for m in _TOKEN.finditer(text):
         kind, s = m.lastgroup, m.group()
         if kind == "space":
             continue
         if kind in ("end", "other"):
-            close()
+            if target and (done := close()):
+                yield done
             last = None
         elif kind == "op":
-            if s in _ASSIGNING and last is not None and (target is None or not value):
-                target, value = last, []
-            elif s in _ASSIGNING and last is not None and len(value) == 1:  # a = b = "x": the nearest name gets it
+            if s == "=" and typed and len(value) == 1:  # NAME : TYPE = value
+                value, typed = [], False
+            elif s in _ASSIGNING and last is not None and len(value) <= 1:  # a = b = "x": the nearest name gets it
                 target, value = last, []
-            else:
-                close()
+                typed = s == ":"
+            elif target and (done := close()):
+                yield done
             joining = bool(target)
             last = None
         elif kind == "plus":
             joining = bool(target and value)
+            typed = False
         else:
             word = s[1:-1] if kind == "string" else s
             a, b = (m.start() + 1, m.end() - 1) if kind == "string" else (m.start(), m.end())
+            typed = typed and kind == "name"
             if target and joining:
-                value += known[s] if kind == "name" and s in known else [(word, a, b)] if kind != "name" or not value else []
+                if kind == "name" and s in known:
+                    value.append(known[s])
+                elif kind != "name" or not value:
+                    value.append(Value.of(word, a, b))
                 joining = False
-            elif target:
-                close()
+            elif target and (done := close()):
+                yield done
             last = word
-    close()
-    return out
+    if done := close():
+        yield done
 
 
 def find_spans(text: str, threshold: float = 0.6) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start, then kind as listed in KINDS.
 
-    assign, access and hex are the lexer's fixed rules.  literal is a literal whose target's sensitivity times its own
-    randomness reaches the threshold and that no base span covers.
+    assign, access and hex are the lexer's fixed rules.  literal is a literal that goes into a target whose sensitivity times
+    the randomness of all it is given reaches the threshold, and that no base span covers.
     """
     spans: list[tuple[str, int, int]] = []
     assigning = ":" in text or "=" in text
@@ -119,31 +186,31 @@ def find_spans(text: str, threshold: float = 0.6) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     if assigning:
-        base = [(a, b) for _, a, b in spans]
-        found = {(a, b) for name, value, a, b in _by_line(text) if b > a and sensitivity(name) * randomness(value) >= threshold}
-        spans += [("literal", a, b) for a, b in found if not any(x <= a and b <= y for x, y in base)]
+        base = sorted((a, b) for _, a, b in spans)
+        starts, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        for a, b in set(_sensitive(text, threshold)):
+            k = bisect_right(starts, a)
+            if a < b and not (k and ends[k - 1] >= b):
+                spans.append(("literal", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _by_line(text: str) -> Iterable[tuple[str, str, int, int]]:
-    """name_literals of the text's assigning lines; other lines hold no statement that gives a name a value."""
-    lines, offsets, at = [], [], 0
+def _sensitive(text: str, threshold: float) -> Iterator[tuple[int, int]]:
+    """Spans of literals that reach the threshold in the text's assigning lines; other lines give no name a value."""
+    lines, moves, starts, at, n = [], [], [], 0, 0
     for line in text.split("\n"):
         if ":" in line or "=" in line:
             lines.append(line)
-            offsets.append(at)
+            starts.append(n)
+            moves.append(at - n)
+            n += len(line) + 1
         at += len(line) + 1
-    starts, n = [], 0
-    for line in lines:
-        starts.append(n)
-        n += len(line) + 1
-    k = 0
-    found = sorted(name_literals("\n".join(lines)), key=lambda f: f[2])
-    for name, value, a, b in found:
-        while k + 1 < len(starts) and starts[k + 1] <= a:
-            k += 1
-        move = offsets[k] - starts[k]
-        yield name, value, a + move, b + move
+    for name, value in assignments("\n".join(lines)):
+        much = sensitivity(name)
+        if much >= threshold and not value.hit and much * value.randomness() >= threshold:
+            for a, b in value.spans():
+                move = moves[bisect_right(starts, a) - 1]
+                yield a + move, b + move
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
