@@ -53,33 +53,50 @@ def grams(symbols: np.ndarray) -> Iterator[np.ndarray]:
                 yield h >> np.uint32(32 - BITS)
 
 
-def frequencies(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that a text's n-grams fill, and their share of all its n-grams."""
+def frequencies(text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets that a text's n-grams fill, their share of all its n-grams, and the number of these."""
     counts = np.zeros(DIM, dtype=np.int64)
     for g in grams(symbols(text)):
         counts += np.bincount(g, minlength=DIM)
     at = np.flatnonzero(counts)
-    return at, counts[at] / max(1, counts.sum())
+    n = int(counts.sum())
+    return at, counts[at] / max(1, n), n
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # DIM x languages, times the buckets' inverse document frequencies
+    rows: np.ndarray  # of each bucket, its row in table; 0 for buckets without a weight
+    table: np.ndarray  # weights, a column a language, times the buckets' inverse document frequencies; row 0 is 0
+    idf: np.ndarray  # of each bucket
     bias: np.ndarray
     temperature: float
+    usual: float = 0.0  # mean novelty of the training rows
+    limit: float = np.inf  # most novelty that training rows have, with a margin
 
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        """Language and calibrated probability."""
-        total, n = np.zeros(len(self.languages)), 0
+    def scores(self, text: bytes | None) -> tuple[np.ndarray | None, float]:
+        """Of a whole text: a score for each language before the temperature (None without a letter), and its novelty.
+
+        Novelty is the mean inverse document frequency of its n-grams, PRIOR usual ones included.  Text in none of the learned languages
+        is made of n-grams that few training documents have.
+        """
+        total, rare, n = np.zeros(len(self.languages)), 0.0, 0
         for g in grams(symbols(text)):
-            total += self.weights.take(g, axis=0).sum(axis=0, dtype=np.float64)
+            total += self.table.take(self.rows.take(g), axis=0).sum(axis=0, dtype=np.float64)
+            rare += float(self.idf.take(g).sum(dtype=np.float64))
             n += len(g)
-        if not n or not self.languages:
-            return UNKNOWN, 0.0
-        p = softmax((total / n + self.bias) / self.temperature)
+        if not n:
+            return None, 0.0
+        return total / n + self.bias, (rare + PRIOR * self.usual) / (n + PRIOR)
+
+    def predict(self, text: bytes | None) -> tuple[str, float, float]:
+        """Language, calibrated probability, and novelty."""
+        x, novelty = self.scores(text)
+        if x is None or not self.languages:
+            return UNKNOWN, 0.0, novelty
+        p = softmax(x / self.temperature)
         k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        return self.languages[k], float(p[k]), novelty
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -87,13 +104,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (DIM + 1) x classes; the last row is the bias.
+def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets that some row has, in ascending order; their weights, a column a class; the bias).
 
     FTRL-Proximal: coordinates keep sums of gradients z and of their squares n; a weight is 0 while |z| <= l1 and else
-    (sign(z) l1 - z) / ((beta + sqrt(n)) / alpha + l2).  Rows are (buckets, values, class).
+    (sign(z) l1 - z) / ((beta + sqrt(n)) / alpha + l2).  Rows are (buckets, values, class).  Only buckets of the rows
+    take room.
     """
-    z, n = np.zeros((DIM + 1, classes)), np.zeros((DIM + 1, classes))
+    known = np.unique(np.concatenate([at for at, _, _ in rows])) if rows else np.empty(0, dtype=np.int64)
+    rows = [(np.append(np.searchsorted(known, at), len(known)), np.append(x, 1.0), y) for at, x, y in rows]
+    z, n = np.zeros((len(known) + 1, classes)), np.zeros((len(known) + 1, classes))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
@@ -102,7 +122,6 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epo
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             at, x, y = rows[k]
-            at, x = np.append(at, DIM), np.append(x, 1.0)
             w = weights(z[at], n[at])
             p = softmax(x @ w)
             p[y] -= 1.0
@@ -110,7 +129,9 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epo
             more = n[at] + g * g
             z[at] += g - (np.sqrt(more) - np.sqrt(n[at])) / alpha * w
             n[at] = more
-    return weights(z, n), n
+    for i in range(0, len(z), SLAB):
+        z[i : i + SLAB] = weights(z[i : i + SLAB], n[i : i + SLAB])
+    return known, z[:-1], z[-1]
 
 
 def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -174,20 +195,23 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out.ravel(), sum(r["n"] for r in rows)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, max_languages: int = 256, epochs: int = 3, only: F.Column | None = None) -> Model:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, most: int = 40_000, max_languages: int = 1024, epochs: int = 3, only: F.Column | None = None) -> Model:
     """A model from the labelled rows of docs (non-null lang) that `only` admits.
 
     Document frequencies are counted over all labelled rows.  The regression is fitted on the driver to a sample that
-    is bounded by parameters: about per_language rows, chosen by a hash of id and text, of each of the max_languages
-    most frequent languages.  Every fifth sampled row sets the temperature and the others the weights.  No labelled row: a
-    model without languages, which predicts `und`.
+    is bounded by parameters: about per_language rows of each language, or `most` rows of all where that is less, chosen
+    by a hash of id and text.  Every language is learned; over max_languages raise an error.  Every fifth sampled row of a language sets
+    the temperature and the others the weights.  No labelled row: a model without languages, which predicts `und`.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), common.bytes_col(text).alias("body"), (F.lit(True) if only is None else only).alias("admitted"))
     rows = rows.where("admitted and lang is not null")
-    tally = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    tally = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
+    if len(tally) > max_languages:
+        raise ValueError(f"over {max_languages} languages; is this the column of languages? Else raise max_languages")
     if not tally:
-        return Model([], np.zeros((DIM, 0), dtype=np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros(DIM, dtype=np.int32), np.zeros((1, 0), dtype=np.float32), np.zeros(DIM), np.zeros(0), 1.0)
     languages = sorted(r["lang"] for r in tally)
+    per_language = max(1, min(per_language, most // len(languages)))
     place = F.pmod(F.xxhash64("doc_id", "body"), F.lit(1 << 30))
     share = {r["lang"]: min(1.0, per_language / r["n"]) for r in tally}
     pick = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(int(share[l] * (1 << 30))))])
@@ -196,37 +220,56 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [frequencies(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary()), b.column(2)], names=["lang", "at", "x", "place"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.astype(np.int32).tobytes() for a, _, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x, _ in found], pa.binary()), b.column(2), pa.array([n for _, _, n in found], pa.int64())], names=["lang", "at", "x", "place", "n"])
 
-    got = sample.select("lang", "body", place.alias("place")).mapInArrow(featurize, "lang string, at binary, x binary, place long").collect()
+    got = sample.select("lang", "body", place.alias("place")).mapInArrow(featurize, "lang string, at binary, x binary, place long, n long").collect()
     counts, n = document_counts(rows)
+    return fit(languages, [(r["lang"], r["place"], np.frombuffer(bytes(r["at"]), dtype=np.int32), np.frombuffer(bytes(r["x"]), dtype=np.float32), r["n"]) for r in got], counts, n, epochs)
+
+
+def fit(languages: list[str], sample: list[tuple[str, int, np.ndarray, np.ndarray, int]], counts: np.ndarray, n: int, epochs: int) -> Model:
+    """The model of a sample (language, place in its order, buckets, their shares, n-grams) and n documents' bucket counts."""
     idf = np.log((1 + n) / (1 + counts)) + 1.0
-    data = []
-    for r in sorted(got, key=lambda r: (r["place"], r["lang"], bytes(r["at"]))):
-        at, x = np.frombuffer(bytes(r["at"]), dtype=np.int32), np.frombuffer(bytes(r["x"]), dtype=np.float32)
+    number = {l: k for k, l in enumerate(languages)}
+    learn, check, novelty = [], [], []
+    seen = [0] * len(languages)
+    for lang, _, at, x, size in sorted(sample, key=lambda r: (r[1], r[0], r[2].tobytes())):
         if len(at):
-            data.append((at, x * idf[at] * SCALE, languages.index(r["lang"])))
-    fit, check = [d for i, d in enumerate(data) if i % 5], data[::5]
-    w, _ = train_ftrl(fit, len(languages), epochs)
-    logits = np.array([x @ w[at] + w[DIM] for at, x, _ in check]).reshape(-1, len(languages))
+            k = number[lang]
+            seen[k] += 1
+            (learn if seen[k] % 5 else check).append((at, x * idf[at] * SCALE, k))
+            novelty.append((float(x @ idf[at]), size))
+    known, w, bias = train_ftrl(learn, len(languages), epochs)
+    some = np.flatnonzero(w.any(axis=1))
+    rows = np.zeros(DIM, dtype=np.int32)
+    rows[known[some]] = np.arange(1, len(some) + 1)
+    table = np.zeros((len(some) + 1, len(languages)), dtype=np.float32)
+    table[1:] = w[some] * (idf[known[some]] * SCALE)[:, None]
+    logits = np.array([x @ (table[rows[at]] / (idf[at] * SCALE)[:, None]) + bias for at, x, _ in check]).reshape(-1, len(languages))
     t = best_temperature(logits, np.array([y for _, _, y in check])) if len(check) > 1 else 1.0
-    return Model(languages, (w[:DIM] * (idf * SCALE)[:, None]).astype(np.float32), w[DIM], t)
+    usual = float(np.mean([v for v, _ in novelty])) if novelty else 0.0
+    smooth = [(v * size + PRIOR * usual) / (size + PRIOR) for v, size in novelty]
+    limit = usual + MARGIN * (max(smooth) - usual) if smooth else np.inf
+    return Model(languages, rows, table, idf.astype(np.float32), bias, t, usual, limit)
 
 
 #: Brings shares of n-grams to the size of the bias's 1.
 SCALE = 10.0
+#: Usual n-grams that stand beside a text's own in its novelty, so that short texts are not odd by chance, and how much
+#: farther from the usual than any training row a text may be before it is in none of the languages.
+PRIOR, MARGIN = 200, 1.5
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
-    """docs with a column `into`: struct(lang, score) of the whole text.
+    """docs with a column `into`: struct(lang, score, novelty) of the whole text.
 
-    One pass without a shuffle.  Null, empty or letterless text: `und` with score 0.  The model's size is bounded by
-    its languages.  All columns stay; one already named as `into` is replaced.
+    One pass without a shuffle.  Null, empty or letterless text: `und` with score and novelty 0.  The model's size is
+    bounded by its languages.  All columns stay; one already named as `into` is replaced.
     """
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, novelty double")
     def predict(texts: pa.Array) -> pa.Array:
         found = [model.predict(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([l for l, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], ["lang", "score", "novelty"])
 
     return docs.withColumn(into, predict(common.bytes_col(text)))

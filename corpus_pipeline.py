@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import common, decontaminate, langid, minhash, mixing, tokens
+from bookspark.llm import common, decontaminate, langid, mixing, simhash, tokens
 from bookspark.llm.queries import TOKENIZER
 
 #: The columns of documents, which every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least calibrated probability of a language, as a multiple of an even share among the learned ones.  Low on purpose:
-#: texts in two languages and short texts with a license line are not rejected, only those that no language explains.
-LEAST_SHARE = 1.1
-
-
 def _columns(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose language's calibrated probability is below LEAST_SHARE even shares.
+    """Drops documents that are in none of the learned languages: those without a letter, and those whose n-grams are
+    farther from the usual than any labelled training document's, with a margin (langid.Model.limit).
 
     The model learns from labelled documents outside the held-out fold, as op2 does.  If no document has a label, no language is
-    learned, and only letterless texts go.
+    learned, and only letterless texts go.  Short texts, texts in two learned languages and noise around words stay.
     """
     docs = _columns(docs)
     model = langid.train(docs, only=langid.fold("doc_id") != 0)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = langid.identify(docs, model, into="__language")
-    return _columns(found.where((F.col("__language.lang") != langid.UNKNOWN) & (F.col("__language.score") * len(model.languages) >= min(LEAST_SHARE, len(model.languages)))))
+    return _columns(found.where((F.col("__language.lang") != langid.UNKNOWN) & (F.col("__language.novelty") <= model.limit)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +36,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     smallest id, one row of each set stays, the one whose text hashes least.
     """
     docs = _columns(docs).withColumn("__hash", F.xxhash64("text"))
-    groups = common.cut(minhash.similar_groups(docs, carry=("__hash",)), "groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.min("__hash").alias("__least"), F.count(F.lit(1)).alias("n"))
+    groups = common.cut(simhash.similar_groups(docs, carry=("__hash",)), "groups")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "node").agg(F.min("__hash").alias("__least"), F.count(F.lit(1)).alias("n"))
     kept = first.select(F.col("doc_id").alias("__id"), "__least").distinct()
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__least")))
     return _columns(out if first.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "__hash"]))
@@ -71,13 +67,13 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_stage),
-    ("near-dedup", near_duplicate_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("mixing to target weights", mixing_stage),
     ("token tables", token_stage),
 ]
 
-#: Language ID, MinHash and BPE are not for SQL; tests/llm holds run() against a brute-force version.
+#: Language ID, near copies and BPE are not for SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -20,9 +20,9 @@ def test_ftrl_separates_and_is_sparse():
         y = int(rng.integers(3))
         at = np.unique(np.r_[rng.integers(100, 2000, 5), 10 * y + rng.integers(0, 5, 4)])
         rows.append((at, np.full(len(at), 1.0), y))
-    w, _ = langid.train_ftrl(rows, 3, l1=0.5)
-    assert np.mean([int((x @ w[at] + w[-1]).argmax()) == y for at, x, y in rows]) > 0.98
-    assert (w == 0).mean() > 0.9
+    known, w, bias = langid.train_ftrl(rows, 3, l1=0.5)
+    assert np.mean([int((x @ w[np.searchsorted(known, at)] + bias).argmax()) == y for at, x, y in rows]) > 0.98
+    assert len(known) < 2000 and (w == 0).mean() > 0.9
 
 
 def test_temperature_softens_overconfidence():
@@ -47,4 +47,51 @@ def test_odd_tables(odd, empty):
     assert got[(3, None)].lang == got[(4, "")].lang == got[(5, " \n\t")].lang == "und" and got[(5, " \n\t")].score == 0
     assert got[(1, "alp")].lang in model.languages
     none = langid.train(empty)
-    assert langid.identify(empty, none).count() == 0 and none.predict(b"abc") == ("und", 0.0)
+    assert langid.identify(empty, none).count() == 0 and none.predict(b"abc")[:2] == ("und", 0.0)
+
+
+def plain_grams(text):
+    """Buckets of a text's n-grams, one at a time."""
+    kept = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    kept = "".join(c for k, c in enumerate(kept) if c != " " or k == 0 or kept[k - 1] != " ")
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for c in kept[i : i + n]:
+                h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h >> 16)
+    return out if any(c.isalpha() for c in text) else []
+
+
+def test_counts_and_predictions_against_a_plain_version(spark, documents, monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 500)
+    some = documents.where("doc_id % 5 = 1").select("doc_id", "text", "lang")
+    rows = [(r.text or "", r.lang) for r in some.collect()]
+    counts, n = langid.document_counts(some.select(F.col("text").cast("binary").alias("body")))
+    want = np.zeros(langid.DIM, dtype=np.int64)
+    for text, _ in rows:
+        want[list(set(plain_grams(text)))] += 1
+    assert n == len(rows) and (counts == want).all()
+    model = langid.train(some)
+    idf = np.log((1 + n) / (1 + want)) + 1
+    assert np.allclose(model.idf, idf, rtol=1e-6) and model.languages == sorted({l for _, l in rows if l})
+    for text, _ in rows[:40] + [("Ab", None), ("q", None)]:
+        g = plain_grams(text)
+        x = [sum(float(model.table[model.rows[k], c]) for k in g) / len(g) + model.bias[c] for c in range(len(model.languages))]
+        e = [np.exp((v - max(x)) / model.temperature) for v in x]
+        lang, score, novelty = model.predict(text.encode())
+        assert lang == model.languages[int(np.argmax(x))] and abs(score - max(e) / sum(e)) < 1e-6
+        assert abs(novelty - (sum(idf[k] for k in g) + langid.PRIOR * model.usual) / (len(g) + langid.PRIOR)) < 1e-4
+
+
+def test_rare_and_too_many_languages(spark, documents):
+    import pytest
+
+    rare = spark.createDataFrame([(-1, "ąęłść żółw źdźbło " * 20, "pl")], "doc_id long, text string, lang string")
+    both = documents.select("doc_id", "text", "lang").unionByName(rare)
+    assert langid.train(both).predict("żółw źdźbło ąęłść".encode())[0] == "pl"
+    assert langid.train(rare).predict(b"abc")[:2] == ("pl", 1.0)
+    with pytest.raises(ValueError):
+        langid.train(both, max_languages=2)
