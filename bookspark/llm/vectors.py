@@ -16,8 +16,10 @@ from . import common
 
 #: Rounds of random signs and Hadamard transforms that stand for one random rotation; buckets a vector looks into in each table.
 ROUNDS, PROBES = 3, 4
-#: Rows of a bucket that are compared in one cell, rows that a task holds at once, and pairs that are verified at once.
+#: Rows of a bucket that are compared in one cell, rows that a task holds at once, and links that are attributed at once.
 CELL, HELD, PAIRS = 256, 1 << 13, 1 << 14
+#: Rows that make a bucket worth a ball (see link_vectors).
+TIGHT = 64
 #: Chance, at the threshold itself, that a pair is found; pairs above the threshold are found more surely.
 RECALL = 0.95
 
@@ -106,12 +108,12 @@ def digest(vector: list | None) -> bytes | None:
     return xxhash.xxh3_128_digest(x.tobytes()) if np.isfinite(x).all() and x.any() else None
 
 
-def _units(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def _units(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors padded to the longest, and their dimensions."""
-    dims = np.array([len(v) for v in vectors])
-    x = np.zeros((len(vectors), dims.max()))
-    for i, v in enumerate(vectors):
-        x[i, : len(v)] = v
+    dims = vectors.value_lengths().to_numpy()
+    values = vectors.flatten().to_numpy()
+    x = np.zeros((len(dims), int(dims.max())))
+    x[np.arange(x.shape[1]) < dims[:, None]] = values
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True), dims
 
@@ -128,48 +130,73 @@ def _signed(x: np.ndarray, dims: np.ndarray, plans: dict[int, tuple[int, int]],
 def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """One row per row of vectors: vec_id, n_links (other rows linked directly), component_id (smallest id reachable).
 
-    Rows of equal components are one node with a count, whatever their number.  Nodes get buckets in several tables by
+    Rows of equal components are one node with a count, whatever their number and ids.  Nodes get buckets in several tables by
     cross-polytope hashing; each looks into PROBES buckets a table, and pairs of which one is in its own bucket are
     candidates.  Every candidate is verified by its cosine in double precision, so no link is below the threshold.  A
-    pair that meets in several buckets counts in the first: signatures are worked out again where pairs are verified,
-    so neither pairs nor signatures are shuffled.  Buckets over CELL rows are compared in cells of two parts, within which
-    pairs become counts and edges of a spanning forest; no pair is emitted.  Vectors travel only with rows of buckets that
-    hold two nodes.  Tables and hashes follow from the number of nodes and the wanted recall (see plan); links near the threshold can be missed
-    with chance 1 - RECALL.
-
-    Null, empty and zero vectors, and those with null or non-finite components, have no links and are their own
-    component; so are vectors that no other of their length is near.  Empty table: no rows.
+    pair that meets in several buckets counts in the first; rows carry their buckets, so neither pairs nor hashes are made again.
+
+    Tight groups: of a bucket with TIGHT nodes or more one node, by least hash, is a centre.  A node within half the
+    threshold's angle of the first centre among its buckets' is in that centre's ball, and two of one ball are linked, as
+    angles add up.  So a ball's links are its size, and its nodes are compared only with nodes outside of it.  What is compared is
+    dealt into cells of two parts of up to CELL rows, within which pairs become counts and edges of a spanning forest; no
+    pair is emitted.  Vectors travel only with rows of such cells.  Tables and hashes follow from the number of nodes and the wanted
+    recall (see plan); links near the threshold can be missed with chance 1 - RECALL.
+
+    Ids are read as long; what isn't a number is null.  Rows with a null id or one that others have, too, are vectors like any
+    other: they count as links, and each gets its own row; a component's id is the smallest that is not null, or null.  Null, empty
+    and zero vectors, and those with null or non-finite components, have no links and are their own component; so are
+    vectors that no other of their length is near.  Empty table: no rows.
     """
 
     @F.arrow_udf("binary")
     def digests(column: pa.Array) -> pa.Array:
         return pa.array([digest(v) for v in column.to_pylist()], pa.binary())
 
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
+    rows = vectors.select(F.expr(f"try_cast(`{vec_id}` as long)").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
     rows = rows.withColumn("d", digests("x"))
-    nodes = common.cut(rows.where("d is not null").groupBy("d").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")), "nodes")
+    nodes = rows.where("d is not null").groupBy("d").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
+    nodes = common.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sizes = {r["n"]: r["c"] for r in nodes.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     plans = {d: plan(d, c, threshold) for d, c in sizes.items()}
     tables = max((t for t, _ in plans.values()), default=1)
 
+    @F.arrow_udf("binary")
+    def signed(column: pa.Array) -> pa.Array:
+        out = []
+        for i in range(0, len(column), 2048):
+            x, dims = _units(column.slice(i, 2048))
+            out += [row.tobytes() for row in _signed(x, dims, plans, tables)]
+        return pa.array(out, pa.binary())
+
+    nodes = common.cut(nodes.withColumn("sign", signed("x")), "signed")
+
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                x, dims = _units(part.column(1).to_pylist())
-                s = _signed(x, dims, plans, tables)
-                n = np.array([plans[int(d)][0] for d in dims])
-                row, table, probe = np.nonzero(np.broadcast_to((np.arange(tables) < n[:, None])[:, :, None], s.shape))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(table, pa.int32()), pa.array(s[row, table, probe], pa.int64()), pa.array(probe == 0)], names=["rep", "t", "key", "home"])
-
-    slots = common.cut(nodes.select("rep", "x").mapInArrow(bucketed, "rep long, t int, key long, home boolean"), "slots")
-    lively = slots.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home")).where("n > 1 and home")
-    lively = lively.select(F.col("t").alias("lt"), F.col("key").alias("lk"))
-    slots = slots.join(lively, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lk"))).select("t", "key", "rep")
-    cells = common.split_hot(slots, ["t", "key"], "rep", CELL)
-    cells = cells.join(nodes.select(F.col("rep").alias("node"), "copies", "x"), F.col("rep") == F.col("node"))
-    order = ["t", "key", "part_a", "part_b"]
-    cells = cells.select(*order, "own", "rep", "copies", "x").repartition(*order).sortWithinPartitions(*order, "rep")
+                s = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype="<i8").reshape(-1, tables, PROBES)
+                n = np.array([plans[d][0] for d in part.column(1).to_pylist()])
+                own = (np.arange(tables) < n[:, None])[:, :, None] & np.stack([(s[:, :, :p] != s[:, :, p : p + 1]).all(axis=2) for p in range(PROBES)], axis=2)
+                row, table, probe = np.nonzero(own)  # a bucket that two probes name holds the vector once
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(table, pa.int32()), pa.array(s[row, table, probe], pa.int64()), pa.array(probe == 0)], names=["node", "t", "key", "home"])
+
+    slots = common.cut(nodes.select("node", F.size("x"), "sign").mapInArrow(bucketed, "node long, t int, key long, home boolean"), "slots")
+    balls = common.cut(_balls(nodes, slots, threshold), "balls")
+    slots = slots.join(balls.select(F.col("node").alias("in"), "ball"), F.col("node") == F.col("in"), "left").select("t", "key", "home", "node", F.coalesce("ball", F.lit(-1)).alias("ball"))
+    groups = slots.groupBy("t", "key", "ball").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
+    groups = groups.groupBy(F.col("t").alias("lt"), F.col("key").alias("lk")).agg(
+        F.sum("n").alias("n"), F.max("home").alias("any_home"), F.collect_list(F.struct("ball", F.ceil(F.col("n") / CELL).cast("int").alias("p"))).alias("parts"))
+    groups = groups.where("n > 1 and any_home and (size(parts) > 1 or parts[0].ball = -1)").drop("n", "any_home")
+    cells = slots.join(groups, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lk")))
+    cells = cells.withColumn("me", F.struct("ball", F.pmod(F.xxhash64("node", F.lit(7)), F.filter("parts", lambda g: g["ball"] == F.col("ball"))[0]["p"]).cast("int").alias("part")))
+    others = F.filter("parts", lambda g: (g["ball"] != F.col("ball")) | (F.col("ball") == -1))
+    others = F.flatten(F.transform(others, lambda g: F.transform(F.sequence(F.lit(0), g["p"] - 1), lambda o: F.struct(g["ball"].alias("ball"), o.alias("part")))))
+    cells = cells.withColumn("other", F.explode(others))
+    cells = cells.select("t", "key", F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), (F.col("me") > F.col("other")).alias("right"), "node")
+    cells = cells.join(nodes.select(F.col("node").alias("n"), "copies", "x", "sign"), F.col("node") == F.col("n"))
+    cells = cells.select("t", "key", F.xxhash64("a", "b").alias("cell"), (F.col("a") == F.col("b")).alias("whole"), "right", "node", "copies", "x", "sign")
+    order = ["t", "key", "cell"]
+    cells = cells.repartition(*order).sortWithinPartitions(*order, "right", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -179,40 +206,35 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             if not held:
                 return
             table = pa.Table.from_batches(held).combine_chunks()
-            t, key, a, b, own, rep, copies = (table.column(i).to_numpy() for i in range(7))
-            starts = np.r_[0, 1 + np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))]
-            end = len(rep) if last else int(starts[-1])
-            held = [] if last else [x for x in table.slice(end).to_batches()]
+            t, key, cell, whole, right, node, copies = (table.column(i).to_numpy() for i in range(7))
+            starts = np.r_[0, 1 + np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))]
+            end = len(node) if last else int(starts[-1])  # the last cell may go on in the next batch
+            held = [] if last else table.slice(end).to_batches()
             if not end:
                 return
             starts = starts[starts < end]
-            cell = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, end]))
-            same, back = np.unique(rep[:end], return_inverse=True)
-            first = np.zeros(len(same), dtype=np.int64)
-            first[back[::-1]] = np.arange(end)[::-1]
-            x, dims = _units(table.column(7).take(pa.array(first)).to_pylist())
-            sign = _signed(x, dims, plans, tables)
-            n_links, forest = np.zeros(len(same), dtype=np.int64), common.Forest()
-            for shift in range(1, int(np.diff(np.r_[starts, end]).max())):
-                pairs = np.flatnonzero((cell[:-shift] == cell[shift:]) & ((a[: end - shift] == b[: end - shift]) | (own[: end - shift] != own[shift:end])))
+            x, dims = _units(table.column(7).slice(0, end).combine_chunks())
+            sign = np.frombuffer(b"".join(table.column(8).slice(0, end).to_pylist()), dtype="<i8").reshape(-1, tables, PROBES)
+            n_links, forest = np.zeros(end, dtype=np.int64), common.Forest()
+            for lo, hi in zip(starts.tolist(), np.r_[starts[1:], end].tolist()):
+                cut = lo if whole[lo] else lo + int(np.count_nonzero(~right[lo:hi]))
+                u, v = np.nonzero(x[lo : hi if whole[lo] else cut] @ x[cut:hi].T >= threshold)
+                u, v = u + lo, v + cut
+                pairs = np.flatnonzero((u < v) & (dims[u] == dims[v]))
                 for i in range(0, len(pairs), PAIRS):
                     p = pairs[i : i + PAIRS]
-                    u, v = back[p], back[p + shift]
-                    near = (np.einsum("ij,ij->i", x[u], x[v]) >= threshold) & (dims[u] == dims[v]) & (u != v)
-                    p, u, v = p[near], u[near], v[near]
-                    if not len(p):
-                        continue
-                    met, bucket = meets(sign[u], sign[v])
+                    a, b = u[p], v[p]
+                    met, bucket = meets(sign[a], sign[b])
                     here = met.argmax(axis=1)
-                    mine = met.any(axis=1) & (here == t[p]) & (bucket[np.arange(len(p)), here] == key[p])
-                    u, v, p = u[mine], v[mine], p[mine]
-                    np.add.at(n_links, u, copies[p + shift])
-                    np.add.at(n_links, v, copies[p])
-                    for l, r in zip(same[u].tolist(), same[v].tolist()):
+                    mine = met.any(axis=1) & (here == t[lo]) & (bucket[np.arange(len(p)), here] == key[lo])
+                    a, b = a[mine], b[mine]
+                    np.add.at(n_links, a, copies[b])
+                    np.add.at(n_links, b, copies[a])
+                    for l, r in zip(node[a].tolist(), node[b].tolist()):
                         forest.join(l, r)
             some = np.flatnonzero(n_links)
             u, v = forest.edges()
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[same[some], v]), pa.array(np.r_[n_links[some], np.zeros(len(v), dtype=np.int64)]), pa.array(np.r_[same[some], u])], names=["node", "links", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[node[some], v]), pa.array(np.r_[n_links[some], np.zeros(len(v), dtype=np.int64)]), pa.array(np.r_[node[some], u])], names=["node", "links", "to"])
 
         n = 0
         for batch in batches:
@@ -224,10 +246,33 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 n = sum(x.num_rows for x in held)
         yield from work(True)
 
-    found = common.cut(cells.mapInArrow(compare, "node long, links long, to long"), "links")
-    groups = common.components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
+    found = common.cut(cells.mapInArrow(compare, "node long, links long, to long").unionByName(balls.select("node", "links", F.col("first").alias("to"))), "links")
+    groups = common.components(found.select(F.col("node").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "n")
     counts = found.where("links > 0").groupBy(F.col("node").alias("of")).agg(F.sum("links").alias("links"))
-    named = nodes.select("d", "rep", "copies").join(counts, F.col("rep") == F.col("of"), "left").join(groups, F.col("rep") == F.col("node"), "left")
-    named = common.cut(named.select(F.col("d").alias("nd"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
+    named = nodes.select("d", "node", "least", "copies").join(counts, F.col("node") == F.col("of"), "left").join(groups, F.col("node") == F.col("n"), "left")
+    named = common.cut(named.select(F.col("d").alias("nd"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("group")), "named")
+    least = named.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component_id"))
+    named = named.join(least, F.col("group") == F.col("g")).select("nd", "n_links", "component_id")
     out = rows.select("vec_id", "d").join(named, F.col("d") == F.col("nd"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("nd").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _balls(nodes: DataFrame, slots: DataFrame, threshold: float) -> DataFrame:
+    """(node, ball, links, first): the nodes that are in a ball, the rows of the others in it, and its least node."""
+    home = slots.where("home").select("t", "key", "node")
+    centres = home.groupBy(F.col("t").alias("ct"), F.col("key").alias("ck")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("of"))).alias("c"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= TIGHT)
+    picked = home.join(centres, (F.col("t") == F.col("ct")) & (F.col("key") == F.col("ck"))).groupBy("node").agg(F.min("c")["of"].alias("ball"))
+    far = nodes.join(picked.select(F.col("ball").alias("b")).distinct(), F.col("node") == F.col("b")).select("b", F.col("x").alias("y"))
+    both = picked.join(nodes.select(F.col("node").alias("n"), "copies", "x"), F.col("node") == F.col("n")).join(far, F.col("ball") == F.col("b"))
+
+    def scaled(x) -> F.Column:  # no overflow in the products
+        return F.transform(x, lambda v: v / F.array_max(F.transform(x, F.abs)))
+
+    def dot(x, y) -> F.Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    both = both.where(F.size("x") == F.size("y")).select("node", "ball", "copies", scaled(F.col("x")).alias("x"), scaled(F.col("y")).alias("y"))
+    cosine = dot(F.col("x"), F.col("y")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))
+    inside = common.cut(both.where(cosine >= math.sqrt((1 + threshold) / 2) + 1e-7).select("node", "ball", "copies"), "inside")
+    size = inside.groupBy(F.col("ball").alias("b")).agg(F.sum("copies").alias("all"), F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return inside.join(size, F.col("ball") == F.col("b")).select("node", "ball", (F.col("all") - F.col("copies")).alias("links"), "first")

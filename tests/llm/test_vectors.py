@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from bookspark.llm import vectors as V
 
@@ -42,8 +43,19 @@ def test_odd_vectors(spark):
     assert V.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_groups_split_into_cells(spark, monkeypatch):
-    """Groups larger than a cell and a chain, near the threshold too: no link below it, recall above 0.9 of all links."""
+def test_ids_are_read_as_they_are(spark):
+    """Repeated, null and int ids: every row is a vector of its own."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.1, 1.0, 0.0, 0.0]
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, c), (None, [0.0, 0.0, 1.0, 0.0]), (None, [0.0, 0.1, 1.0, 0.0]), (4, [0.0, 0.0, 0.0, 1.0]), (None, None)], "vec_id int, embedding array<float>")
+    got = sorted((tuple(r) for r in V.link_vectors(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (2, 1, 1), (1, 1, 1), (3, 1, 1), (None, 1, None), (None, 1, None), (4, 0, 4), (None, 0, None)], key=repr)
+
+
+@pytest.mark.parametrize("tight", [4, 1000])
+def test_groups_split_into_cells(spark, monkeypatch, tight):
+    """Groups larger than a cell and a chain, near the threshold too: no link below it, recall above 0.9 of all links.
+    Both with balls and without."""
+    monkeypatch.setattr(V, "TIGHT", tight)
     monkeypatch.setattr(V, "CELL", 16)
     monkeypatch.setattr(V, "HELD", 64)
     rng = np.random.default_rng(7)
