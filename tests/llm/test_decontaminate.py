@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bookspark.llm import common, decontaminate as D
@@ -24,7 +25,10 @@ def test_wu_manber_finds_all():
         patterns = {bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 6))}
         text = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 60)))
         want = sorted((i, p) for p in patterns for i in range(len(text)) if text.startswith(p, i))
-        assert sorted(D.WuManber(patterns, rng.choice([1, 2, 8])).find(text)) == want
+        patterns = sorted(patterns)
+        ends = np.cumsum([len(p) for p in patterns])
+        found = D.WuManber(b"".join(patterns), ends - [len(p) for p in patterns], ends, rng.choice([1, 2, 8])).find(text)
+        assert sorted((i, patterns[k]) for i, k in found) == want
 
 
 def test_windows():
@@ -32,7 +36,7 @@ def test_windows():
     for _ in range(150):
         items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 14))).encode()) for i in range(4)]
         words = [rng.choice("abc").encode() for _ in range(rng.randint(0, 40))]
-        spans, found = D.Windows(items, 10).spans(words)
+        spans, found = D.Windows([*items, (None, items[0][1])], 10).spans(words)
         hit, want = brute(words, items)
         assert found == want and {p for a, b in spans for p in range(a, b)} == hit
         assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
@@ -44,6 +48,10 @@ def test_blocks_of_a_large_benchmark(spark, documents, small, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
     many = D.find_benchmark(documents, benchmark).select("doc_id", "hits").orderBy("doc_id").collect()
     assert one == many and sum(bool(r.hits.spans) for r in one) > 0
+    clash = documents.withColumn("n", F.lit(1)).withColumn("row", F.lit("r")).withColumn("__hits0", F.lit(2)).withColumn("hits", F.lit(3)).withColumn("of", F.lit(4))
+    out = D.find_benchmark(clash, benchmark)
+    assert set(out.columns) == set(clash.columns) and sorted(out.select("doc_id", "hits").collect(), key=lambda r: r.doc_id) == one
+    assert [tuple(r) for r in out.select("n", "row", "__hits0", "of").distinct().collect()] == [(1, "r", 2, 4)]
 
 
 def test_odd_tables(spark, odd, empty):
