@@ -23,6 +23,8 @@ from .sources import reader
 
 EBOOK_FORMATS = ("md", "html")
 PAGED_FORMATS = ("md", "text")
+#: Most names of books that are broadcast.
+FEW_BOOKS = 50_000
 
 
 class Library:
@@ -109,7 +111,7 @@ class Books:
         return found.select("book", "query", "tier", "pos").join(toc, ["book", "pos"])
 
     def select(self, queries: Sequence[str] | None = None, index: int | None = None, span: str | None = None) -> DataFrame:
-        """Entries by number, else by query, else by a range of numbers such as '2-4'; a missing number falls through to the queries."""
+        """Entries by number, else by query, else by a range of numbers such as '2-4' or '2-'; a missing number falls through to the queries."""
         toc = self.toc()
         if index is not None:
             by_number = toc.where(F.col("index") == index).withColumn("query", F.lit(None).cast("string"))
@@ -120,9 +122,10 @@ class Books:
         if queries:
             return self.locate(queries).drop("tier")
         if span:
-            first, _, last = span.partition("-")
+            first, dash, last = span.partition("-")
             a = int(first)
-            return toc.where(F.col("index").between(a, int(last) if last else a)).withColumn("query", F.lit(None).cast("string"))
+            within = F.col("index") >= a if dash and not last.strip() else F.col("index").between(a, int(last) if dash else a)
+            return toc.where(within).withColumn("query", F.lit(None).cast("string"))
         raise ValueError("give queries, an index or a span")
 
     def html(self, entries: DataFrame, merge_subsections: bool = False) -> DataFrame:
@@ -136,7 +139,7 @@ class Books:
         else:
             deeper = epub.withColumn("files", F.array("file_path"))
         wanted = deeper.groupBy("book").agg(F.collect_set("files").alias("sets")).withColumn("names", F.array_distinct(F.flatten("sets"))).select("book", "names")
-        bodies = self.epubs.select("book", "content").join(wanted, "book").select("book", "names", reader.epub_entries("content", "names").alias("bodies"))
+        bodies = self._of(self.epubs.select("book", "content"), wanted).join(wanted, "book").select("book", "names", reader.epub_entries("content", "names").alias("bodies"))
         bodies = bodies.select("book", F.explode(F.arrays_zip("names", "bodies")).alias("b")).select("book", F.col("b.names").alias("name"), F.expr("make_valid_utf8(cast(b.bodies as string))").alias("text"))
         parts = deeper.select(*entries.columns, F.posexplode("files").alias("part", "name")).join(bodies, ["book", "name"])
         joined = parts.groupBy(*entries.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("whole"))
@@ -144,10 +147,17 @@ class Books:
         epub = joined.withColumn("html", H.section_html("whole", anchor)).drop("whole")
         chosen = entries.where("file_path is null")
         mobi_toc = self.toc().where("format = 'MOBI'").select("book", "pos", "level", "char_offset")
-        sections = headings.sections(self._markup(), mobi_toc, only=chosen).select("book", "pos", "html")
+        opened = reader.mobis(self._of(self.files if self.mobi_files is None else self.mobi_files, chosen))
+        sections = headings.sections(opened.where("error is null").select("book", "html", "title"), mobi_toc, only=chosen).select("book", "pos", "html")
         mobi = chosen.join(sections, ["book", "pos"]).select(*entries.columns, "html")
         return epub.unionByName(mobi)
 
+    def _of(self, files: DataFrame, chosen: DataFrame) -> DataFrame:
+        """The files of chosen books: below the decoders, and without a shuffle of the files if the names are few."""
+        books = chosen.select("book").distinct()
+        few = books.limit(FEW_BOOKS + 1).count() <= FEW_BOOKS
+        return files.join(F.broadcast(books) if few else books, "book", "left_semi")
+
     def _family(self, entries: DataFrame) -> DataFrame:
         ends = TOC.descendant_end(self.toc().where("file_path is not null").select("book", "pos", "level", "file_path"), "pos", "end").select("book", "pos", "end")
         spans = entries.join(ends, ["book", "pos"])
@@ -165,12 +175,12 @@ class Books:
         listed = listed.withColumn("internal_path", F.when(F.col("file_path").isNotNull() & F.col("src").isNotNull(), FS.resolve(F.col("file_path"), F.split_part("src", F.lit("?"), F.lit(1)))))
         epub = listed.where("internal_path is not null")
         names = epub.groupBy("book").agg(F.collect_set("internal_path").alias("names"))
-        read = self.epubs.select("book", "content").join(names, "book").select("book", "names", reader.epub_entries("content", "names").alias("d"))
+        read = self._of(self.epubs.select("book", "content"), names).join(names, "book").select("book", "names", reader.epub_entries("content", "names").alias("d"))
         read = read.select("book", F.explode(F.arrays_zip("names", "d")).alias("x")).select("book", F.col("x.names").alias("internal_path"), F.col("x.d").alias("data"))
         from_epub = epub.join(read.where("data is not null"), ["book", "internal_path"])
         mobi = listed.where("file_path is null and recindex is not null")
         numbers = mobi.groupBy("book").agg(F.collect_set("recindex").alias("numbers"))
-        recs = self.mobis.select("book", "content").join(numbers, "book").select("book", "numbers", reader.mobi_images("content", "numbers").alias("d"))
+        recs = self._of(self.mobis.select("book", "content"), numbers).join(numbers, "book").select("book", "numbers", reader.mobi_images("content", "numbers").alias("d"))
         recs = recs.select("book", F.explode(F.arrays_zip("numbers", "d")).alias("x")).select("book", F.col("x.numbers").alias("recindex"), F.col("x.d").alias("data"))
         from_mobi = mobi.join(recs.where("data is not null and length(data) > 0"), ["book", "recindex"])
         out = from_epub.select(*_IMAGE).unionByName(from_mobi.select(*_IMAGE))

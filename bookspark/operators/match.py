@@ -9,6 +9,8 @@ from ..functions import text as T
 
 #: Queries whose tests go into one plan; more are matched in blocks of so many.
 BLOCK = 200
+#: Most queries that come from a table.
+MOST_QUERIES = 10_000
 
 
 def tier(title: Column, query: str, strip_title: bool = False) -> Column:
@@ -46,8 +48,10 @@ def find_chapters(toc: DataFrame, queries: list[str], strip_title: bool = False)
 
 
 def find_queries(toc: DataFrame, queries: DataFrame, column: str = "query", strip_title: bool = False) -> DataFrame:
-    """find_chapters for a table of queries.  Distinct queries come to the driver in blocks, which bounds every plan."""
-    distinct = [r[0] for r in queries.select(column).distinct().toLocalIterator()]
+    """find_chapters for a table of up to MOST_QUERIES distinct queries; ValueError if there are more: cut the table then."""
+    distinct = [r[0] for r in queries.select(column).distinct().limit(MOST_QUERIES + 1).collect()]
+    if len(distinct) > MOST_QUERIES:
+        raise ValueError(f"over {MOST_QUERIES} distinct queries")
     return find_chapters(toc, distinct, strip_title)
 
 

@@ -76,11 +76,11 @@ def dual_channel(title: Column, images: Column, text: Column) -> Column:
     """Markdown of a scanned chapter: the list of its page images (array of struct(phys, path)) and the recognised text."""
     n = F.size(images).cast("string")
     listed = F.array_join(F.transform(images, lambda x: F.concat(F.lit("- Page "), x["phys"].cast("string"), F.lit(": `"), x["path"], F.lit("`"))), "\n")
-    return F.concat(F.lit("# "), title, F.lit(DUAL_HEAD), F.lit("### 🖼️ 高清视觉渲染切片（共 "), n, F.lit(" 页）\n"), listed, F.lit("\n\n---\n\n### 📝 离线 OCR 提取文本通道\n"), text, F.lit("\n"))
+    return F.concat(F.lit("# "), title, F.lit(DUAL_HEAD), F.lit("### Page images ("), n, F.lit(")\n"), listed, F.lit("\n\n---\n\n### Recognised text\n"), text, F.lit("\n"))
 
 
-# Fixed value: the note that precedes a scanned chapter's images.
-DUAL_HEAD = "\n\n> 💡 **Agent 视觉直读模式**：本章节为扫描件/图层版，已自动切片渲染为高清图像。推荐 Agent 多模态视觉模型直接阅读下列图片以获得 100% 精确排版、代码与公式；下方同时附带离线 OCR 文本作为快速参考通道。\n\n"
+#: The note that precedes a scanned chapter's images.
+DUAL_HEAD = "\n\n> A scanned chapter: layout, code and formulas are in the images, the text below was read from them.\n\n"
 
 
 def category(code: Column) -> Column:

@@ -66,7 +66,7 @@ def epub_chapter_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epub_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole books as Markdown, chapters joined by rules."""
-    out = Library(spark).files(epub_files(spark, sf_dir, "spine")).extract_range("1-100000")
+    out = Library(spark).files(epub_files(spark, sf_dir, "spine")).extract_range("1-")
     return out.select("book", F.length("content").cast("long").alias("char_count"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import files, text as T
+from ..functions import files, html as H, settings, text as T
 from ..operators import headings, match, pages as P, toc
 from . import derived as D
 
@@ -244,9 +244,7 @@ def code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of the first setting that has one, argument before environment before file, for each user's events."""
     prio = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "view", 1).otherwise(2)
-    rows = D.table(spark, sf_dir, "events").where(T.strip(F.col("props")) != "")
-    rank = F.struct(prio.alias("p"), F.col("event_id").alias("e"))
-    return rows.groupBy("user_id").agg(F.min_by("props", rank).alias("value"), F.min_by("event_type", rank).alias("origin"))
+    return settings.first_setting(D.table(spark, sf_dir, "events"), "user_id", "props", "event_type", F.col("event_id"), prio)
 
 
 def image_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,11 +252,10 @@ def image_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.table(spark, sf_dir, "part").withColumn("book", F.col("p_brand"))
     html = F.concat(F.lit("<p>"), "p_name", F.lit('<img alt="x" recindex="'), F.format_string("%05d", F.col("p_size")), F.lit('"/></p>'))
     books = D.joined(p.withColumn("html", html), "p_partkey", "html")
-    found = books.select("book", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<img[^>]+recindex=["']?(\d+)"""), F.lit(1))).alias("i", "rec"))
+    found = books.select("book", F.explode(H.image_list("html")).alias("i")).select("book", "i.image", "i.recindex")
     records = D.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 2).alias("record"), F.col("s_name").alias("data"))
     first_image = 2
-    out = found.withColumn("recindex", F.col("rec").cast("int")).join(records, F.col("recindex") + first_image - 1 == F.col("record"))
-    return out.select("book", (F.col("i") + 1).alias("image"), "recindex", "data")
+    return found.join(records, F.col("recindex") + first_image - 1 == F.col("record")).select("book", "image", "recindex", "data")
 
 
 QUERY_FUNCTIONS = (

@@ -38,6 +38,17 @@ def listing(toc: DataFrame, width: int = 40) -> DataFrame:
     return toc.select("book", "pos", line.alias("line"))
 
 
+def write_index(documents: DataFrame, folder: str) -> DataFrame:
+    """Writes index documents (book, json) as <hash of the book>.index.json below folder; name, path, length once used."""
+    return write_files(documents.select(F.concat(F.sha1(F.col("book").cast("binary")), F.lit(".index.json")).alias("name"), F.col("json").alias("data")), folder)
+
+
+def write_chapters(chapters: DataFrame, folder: str, extension: str = "md") -> DataFrame:
+    """Writes extracted chapters (book, pos, content) as <hash of the book>/<pos from 1, six digits>.<extension> below folder."""
+    name = F.concat(F.sha1(F.col("book").cast("binary")), F.lit("/"), F.lpad((F.col("pos") + 1).cast("string"), 6, "0"), F.lit(f".{extension}"))
+    return write_files(chapters.dropDuplicates(["book", "pos"]).select(name.alias("name"), F.col("content").alias("data")), folder)
+
+
 def write_files(rows: DataFrame, folder: str, name: str = "name", data: str = "data") -> DataFrame:
     """Writes each row's data (binary or string) as folder/name and returns name, path, length.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
 from dataclasses import dataclass, field
 
 # Offsets in record 0, code pages, and marks of a KF8 part.
@@ -12,12 +14,11 @@ ZIP_MARK = b"PK\x03\x04"
 
 
 def records(data: bytes) -> list[bytes]:
-    """The records of a Palm database; ValueError if its header or table is cut off."""
+    """The records of a Palm database; of a table that is cut off, those that it names.  ValueError if the header is cut off."""
     if len(data) < 78:
         raise ValueError("file is too short for a Palm database")
     (n,) = struct.unpack_from(">H", data, 76)
-    if len(data) < 78 + 8 * n:
-        raise ValueError("record table is cut off")
+    n = min(n, (len(data) - 78) // 8)
     starts = [struct.unpack_from(">I", data, 78 + 8 * i)[0] for i in range(n)]
     return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
 
@@ -124,19 +125,27 @@ def compress(data: bytes) -> bytes:
 def markup(recs: list[bytes], h: Header) -> str:
     """The text records' markup: decompressed, joined as bytes (characters may straddle records), then decoded."""
     body = recs[1 : h.text_records + 1]
-    if h.compression == 2:
-        body = [decompress(r) for r in body]
-    elif h.compression != 1:
-        raise ValueError(f"unsupported compression {h.compression}")
+    if h.compression != 1:
+        body = [_unpacked(r, h.compression) for r in body]
     return b"".join(body).decode(h.encoding, "replace")
 
 
+def _unpacked(record: bytes, compression: int) -> bytes:
+    """A text record; of an unknown compression as PalmDOC has it if that can be read, else as it is."""
+    try:
+        return decompress(record)
+    except (ValueError, IndexError):
+        if compression == 2:
+            raise
+        return record
+
+
 def embedded_epub(recs: list[bytes], h: Header) -> bytes | None:
-    """The first record from the KF8 boundary on that is a ZIP file."""
+    """The first record from the KF8 boundary on that is a ZIP file whose directory can be read."""
     at = h.boundary
     if at is None:
         at = next((i for i, r in enumerate(recs) if r.startswith(b"BOUNDARY") or r[16:20] == b"KF8\0"), None)
-    return None if at is None else next((r for r in recs[at:] if r.startswith(ZIP_MARK)), None)
+    return None if at is None else next((r for r in recs[at:] if r.startswith(ZIP_MARK) and zipfile.is_zipfile(io.BytesIO(r))), None)
 
 
 def image_record(recs: list[bytes], h: Header, recindex: int) -> bytes | None:

@@ -201,3 +201,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert out["success"] and out["title"] == "Two" and "int main()" in out["content"] and out["stats"]["char_count"] == len(out["content"])
     assert main(["index", str(tmp_path)]) == 0 and '"total_chapters":2' in capsys.readouterr().out
     assert main(["extract", str(tmp_path), "--chapter", "nothing of the kind"]) == 1
+
+
+def test_damaged_palm_files():
+    """A record table that is cut off keeps what it names; an unknown compression is read as PalmDOC or as it is."""
+    import struct
+
+    whole = bytearray(palm.build("T", "<p>hello</p>", packed=False))
+    struct.pack_into(">H", whole, 76, 9999)
+    assert len(palm.records(bytes(whole))) > 2 and palm.records(bytes(whole))[0][16:20] == b"MOBI"
+    with pytest.raises(ValueError):
+        palm.records(b"x" * 70)
+    recs = [b"", b"plain text"]
+    assert palm.markup(recs, palm.Header(compression=17480, text_records=1)) == "plain text"
+
+
+def test_settings_precedence(tmp_path):
+    from bookspark.functions import settings as S
+
+    path = tmp_path / "conf.yaml"
+    path.write_text("other: 1\ntoken: your_token_here\n  token: \"abc\" # x\n")
+    assert S.setting("token", "arg", {"token": "env"}, [str(path)]) == ("arg", "argument")
+    assert S.setting("token", "<token>", {"token": "env"}, [str(path)]) == ("env", "environment")
+    assert S.setting("token", None, {"token": " "}, ["/no/such", str(path)]) == ("abc", str(path))
+    assert S.setting("none", None, {}, [str(path)]) == (None, None)
+
+
+def test_written_chapters_and_index(spark, tmp_path, capsys):
+    from bookspark.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.epub").write_bytes(epub.build("A", "nobody", [("One", "<p>first</p>"), ("Two", "<p>second</p>")], "ncx"))
+    out = f"file://{tmp_path}/out"
+    assert main(["extract", str(tmp_path / "in"), "--range", "1-", "--output", out]) == 0 and main(["index", str(tmp_path / "in"), "--output", out]) == 0
+    assert main(["extract", str(tmp_path / "in"), "--index", "9", "--output", out]) == 1
+    files = sorted(p.relative_to(tmp_path / "out") for p in (tmp_path / "out").rglob("*") if p.is_file())
+    assert [p.name for p in files if p.suffix == ".md"] == ["000001.md", "000002.md"] and sum(p.suffix == ".json" for p in files) == 1
+    assert (tmp_path / "out" / files[0]).read_text() == "# One\n\nfirst" or (tmp_path / "out" / files[1]).read_text() == "# One\n\nfirst"
+    spark.createDataFrame([("b", 1, "x"), ("b", 2, "y"), ("b", 3, None)], "book string, phys int, text string").write.parquet(f"{tmp_path}/pages")
+    capsys.readouterr()
+    assert main(["paged", f"{tmp_path}/pages", "--action", "pages", "2", "3"]) == 0
+    assert capsys.readouterr().out == "<!-- Page 2 -->\ny\n<!-- Page 3 -->\n\n"

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from bookspark.plans import codecs, native, oracle
+from bookspark.plans import codecs, native, oracle, planted
 
-NAMES = [*native.queries(), *codecs.queries()]
-SQL = oracle.SQL | codecs.oracle_sql()
+NAMES = [*native.queries(), *codecs.queries(), *planted.queries()]
+SQL = oracle.SQL | codecs.oracle_sql() | planted.oracle_sql()
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in SQL])
