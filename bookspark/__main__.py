@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--action", choices=("probe", "index", "list", "locate", "extract", "pages"), default="probe")
     c.add_argument("--chapter", action="append", default=[])
     c.add_argument("--format", choices=("md", "text"), default="md")
-    c.add_argument("pages", nargs="*", help="for pages: 7, 3 5, 2,4,9 or 20-")
+    c.add_argument("--pages", nargs="*", default=[], help="for pages: 7, 3 5, 2,4,9 or 20-")
     args = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession

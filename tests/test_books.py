@@ -240,5 +240,5 @@ def test_written_chapters_and_index(spark, tmp_path, capsys):
     assert (tmp_path / "out" / files[0]).read_text() == "# One\n\nfirst" or (tmp_path / "out" / files[1]).read_text() == "# One\n\nfirst"
     spark.createDataFrame([("b", 1, "x"), ("b", 2, "y"), ("b", 3, None)], "book string, phys int, text string").write.parquet(f"{tmp_path}/pages")
     capsys.readouterr()
-    assert main(["paged", f"{tmp_path}/pages", "--action", "pages", "2", "3"]) == 0
+    assert main(["paged", f"{tmp_path}/pages", "--action", "pages", "--pages", "2", "3"]) == 0
     assert capsys.readouterr().out == "<!-- Page 2 -->\ny\n<!-- Page 3 -->\n\n"
