@@ -57,7 +57,7 @@ class Join:
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.templates):
             tokens = sorted(set(t.words), key=self.rank.__getitem__)
-            need = len(tokens) if t.phrase else math.ceil(threshold * len(tokens))
+            need = len(tokens) if t.phrase else math.ceil(threshold * len(tokens) - 1e-9)
             self.sets.append(frozenset(tokens))
             self.needs.append(need)
             self.size.append(len(t.words))

@@ -11,7 +11,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,6 +222,10 @@ def bloom_filter(hashes: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+#: Most shards whose first keys a lookup holds.
+MOST_SHARDS = 1 << 20
+
+
 class Table:
     """Reads a shard from a seekable stream: the footer, index and filter at once, blocks as they are asked for."""
 
@@ -375,6 +379,44 @@ def digest_tables(manifest: DataFrame) -> DataFrame:
     return _spread(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(manifest: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ids (array of int, null where no shard has it) of each distinct id of wanted; of repeated ids the first entry.
+
+    The shards' first keys (up to MOST_SHARDS, else ValueError) tell which shards can hold an id; each such shard is opened
+    by one task, which asks its Bloom filter, its index and then one block.  Null ids are looked up like any other.
+    """
+    shards = manifest.select("first", "path", "bytes").orderBy("first", "path").limit(MOST_SHARDS + 1).collect()
+    if len(shards) > MOST_SHARDS:
+        raise ValueError(f"over {MOST_SHARDS} shards: look up in parts of the manifest")
+    firsts, paths = [bytes(r["first"]) for r in shards], [(r["path"], r["bytes"]) for r in shards]
+
+    @F.arrow_udf("array<int>")
+    def shards_of(ids: pa.Array) -> pa.Array:
+        keys = [key_of(i) for i in ids.to_pylist()]  # entries with a key may begin in the shard before the one it is the first of
+        return pa.array([list(range(max(0, bisect_left(firsts, k) - 1), bisect_right(firsts, k))) for k in keys], pa.list_(pa.int32()))
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, table, stream = None, None, None
+        for b in batches:
+            found = []
+            for i, shard in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != current:
+                    if stream:
+                        stream.close()
+                    fs, at = _open_fs(paths[shard][0])
+                    stream = fs.open_input_file(at)
+                    current, table = shard, Table(stream, paths[shard][1])
+                value = table.get(key_of(i))
+                found.append(None if value is None else np.frombuffer(value, dtype=f"<u{table.width}").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "shard", "ids"])
+
+    asked = wanted.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
+    dealt = asked.select("doc_id", F.explode(shards_of("doc_id")).alias("shard")).repartition("shard").sortWithinPartitions("shard")
+    found = dealt.mapInArrow(get, "doc_id long, shard int, ids array<int>").where("ids is not null")
+    first = found.groupBy(F.col("doc_id").alias("of")).agg(F.min_by("ids", "shard").alias("ids"))
+    return asked.join(first, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "ids")
+
+
 def _spread(manifest: DataFrame) -> DataFrame:
     n = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return manifest.select("path", "bytes", "base").repartition(n, "path")

@@ -76,4 +76,10 @@ def test_write_and_read(spark, odd, empty):
         at += r.n_tokens
     digests = {(r.doc_id, r.start): r.ids_crc32 for r in tokens.digest_tables(manifest).collect()}
     assert digests == {(r.doc_id, r.start): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows}
+    asked = spark.createDataFrame([(i,) for i in (None, 1, 3, 6, 7, 8, 99, -5, 7)], "doc_id long")
+    got = {r.doc_id: r.ids for r in tokens.lookup(manifest, asked).collect()}
+    firsts = {}
+    for r in rows:
+        firsts.setdefault(r.doc_id, r.ids)
+    assert got == {i: firsts.get(i) for i in (None, 1, 3, 6, 7, 8, 99, -5)} and got[6] and got[99] is None
     assert tokens.digest_tables(tokens.write_tables(empty, common.scratch(spark, "t"), PATH)).count() == 0
