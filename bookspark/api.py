@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,8 +76,12 @@ class Books:
         if self._toc is not None:
             self._toc.unpersist()
 
-    def write_toc(self, path: str) -> Books:
-        """Writes the tables of contents as Parquet; the books given back look chapters up there and open only matching files."""
+    def write_toc(self, path: str | None = None) -> Books:
+        """Writes the tables of contents as Parquet; the books given back look chapters up there and open only matching files.
+
+        Without a path they go into a folder of their own below sinks.cache_folder.
+        """
+        path = path or f"{sinks.cache_folder(self.files.sparkSession)}/toc-{uuid.uuid4().hex}"
         self.toc().write.mode("overwrite").parquet(path)
         return Books(self.files, self.backend, self.files.sparkSession.read.parquet(path), self.mobi_files)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,8 +59,6 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", data: str = "d
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         fs, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
             names, sizes = b.column(0).to_pylist(), []
@@ -76,3 +76,37 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", data: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f"{folder}/{n}" for n in names], pa.string()), pa.array(sizes, pa.int64())], names=["name", "path", "length"])
 
     return rows.select(F.col(name), F.col(data).cast("binary")).mapInArrow(write, "name string, path string, length long")
+
+
+def writable(folders: Iterable[str | None]) -> str:
+    """The first of the folders (URIs; null and blank ones are passed over) in which a file can be written; OSError if in none.
+
+    The test runs on the driver.  On a cluster, name only folders that all executors share.
+    """
+    tried = []
+    for folder in folders:
+        if not folder or not folder.strip():
+            continue
+        try:
+            fs, root = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(root, recursive=True)
+            probe = f"{root}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(probe) as out:
+                out.write(b"x")
+            fs.delete_file(probe)
+            return folder
+        except (OSError, pa.ArrowInvalid) as e:
+            tried.append(f"{folder}: {e}")
+    raise OSError("no folder can be written: " + "; ".join(tried))
+
+
+def cache_folder(spark: SparkSession, *preferred: str | None) -> str:
+    """A folder for what may be used again: the first writable one of `preferred`, then of spark.checkpoint.dir, then,
+    only if Spark is local, a fresh temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        return writable([*preferred, shared])
+    except OSError:
+        if not spark.sparkContext.master.startswith("local"):
+            raise
+        return f"file://{tempfile.mkdtemp(prefix='bookspark-cache-')}"

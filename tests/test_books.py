@@ -78,6 +78,58 @@ def test_images(spark, shelf, tmp_path):
     assert "recindex:00001" in plain.content or "![" in plain.content
 
 
+def _says():  # made within a function, so it is pickled by value
+    class Says:
+        def __init__(self, text):
+            self.text = text
+
+        def recognize(self, images):
+            return [self.text if i != b"blank" else "" for i in images]
+
+    return Says
+
+
+def test_choose_engines(spark):
+    says = _says()
+
+    def broken():
+        raise ImportError("no model")
+
+    engines = [
+        ocr.Engine("cloud", lambda: says("cloud"), needs_setting="OCR_TOKEN"),
+        ocr.Engine("local", lambda: says("local"), needs_module="json"),
+        ocr.Engine("absent", lambda: says("absent"), needs_module="no_such_module_here"),
+    ]
+    asked = lambda *a, **k: ocr.choose(engines, *a, **k).recognize([b"a", b"blank"])
+    assert asked(env={"OCR_TOKEN": "t"}) == ["cloud", ""]
+    assert asked("local", env={"OCR_TOKEN": "t"}) == ["local", ""]
+    assert asked(env={}) == asked(env={"OCR_TOKEN": "your_token"}) == asked("absent", env={}) == ["local", ""]
+    assert ocr.choose([engines[2]], env={}).recognize([b"a"]) == ocr.choose([]).recognize([b"a"]) == [""]
+    with pytest.raises(ValueError):
+        ocr.choose(engines, "other", env={})
+    both = ocr.choose([ocr.Engine("broken", broken), engines[1]], env={})  # the first fails when it is built
+    images = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"blank")), (3, None)], "n int, data binary")
+    assert {r.n: r.text for r in ocr.recognise(images, both).collect()} == {1: "local", 2: "", 3: ""}
+
+
+def test_lazy_backend_is_built_once():
+    made = []
+    lazy = ocr.LazyBackend("counted", lambda: made.append(1) or _says()("x"))
+    assert not made and lazy.recognize([b"a"]) == lazy.recognize([b"b"]) == ["x"] and made == [1]
+
+
+def test_cache_folder(spark, shelf, tmp_path):
+    good = f"file://{tmp_path}/cache"
+    (tmp_path / "file").write_text("x")
+    bad = f"file://{tmp_path}/file/below"
+    assert sinks.writable([None, " ", bad, good]) == good and list((tmp_path / "cache").iterdir()) == []
+    with pytest.raises(OSError):
+        sinks.writable([bad])
+    assert sinks.cache_folder(spark, bad, good) == good and sinks.cache_folder(spark, bad) not in (None, bad)
+    books = Library(spark).files(shelf).write_toc()
+    assert ("mobi", "第2章 结构") in {(r.book, r.title) for r in books.locate(["第2章"]).collect()}
+
+
 def test_index_json(spark, shelf):
     import json
 
