@@ -33,6 +33,14 @@ TEMPLATES = (
     Template("apache", "apache license", True),
     Template("gpl", "general public license", True),
     Template("reserved", "all rights reserved", True),
+    Template("agpl", "affero general public license", True),
+    Template("lgpl", "lesser general public license", True),
+    Template("mpl", "mozilla public license", True),
+    Template("epl", "eclipse public license", True),
+    Template("boost", "boost software license", True),
+    Template("ofl", "open font license", True),
+    Template("cc", "creative commons attribution", True),
+    Template("cc0", "cc0 1 0 universal", True),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     Template("apache", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License"),
     Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -41,6 +49,29 @@ TEMPLATES = (
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     Template("cc", "This work is licensed under a Creative Commons Attribution International License"),
     Template("unlicense", "This is free and unencumbered software released into the public domain"),
+    Template("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    Template(
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+        "would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "This notice may not be removed or altered from any source distribution",
+    ),
+    Template(
+        "boost",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
 )
 #: Labels whose phrases are base phrases.
 BASE = ("mit", "apache", "gpl")

@@ -59,3 +59,13 @@ def test_long_notice_with_changes(spark):
     text = "Permission is hereby granted free of charge to any human obtaining a copy of this software and associated documentation to deal in the software without any restriction"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert {b.label for b in L.scan_licenses(df).first().licenses.blocks} == {"mit"}
+
+
+def test_each_template_is_found_between_other_words():
+    """A whole text gives its own label, and other labels only if their phrase is in it."""
+    join = L.Join(L.TEMPLATES, {}, 0.8)
+    for t in L.TEMPLATES:
+        words = [b"w%d" % i for i in range(150)] + t.words + [b"v%d" % i for i in range(150)]
+        blocks, places = L.scan_words(words, join)
+        phrases = {p.label for p in L.TEMPLATES if p.phrase and b" ".join(p.words) in b" ".join(words)}
+        assert {b[0] for b in blocks} == {t.label} | phrases, t
