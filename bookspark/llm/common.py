@@ -56,13 +56,25 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: later work survives lost executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Removes tables that cut has given back, once whatever was worked out from them is cut itself."""
+    for df in cuts:
+        _remove(df.sparkSession, df._cut_path)
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Removes all that this application has cut or written below the shared folder; results read from it are then gone."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/bookspark-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/bookspark-{spark.sparkContext.applicationId}")
 
 
 def tidy(spark: SparkSession) -> None:
@@ -154,16 +166,21 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         first = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), F.col("v").alias("n"))).alias("o"))
         me = F.struct(F.xxhash64("u", F.lit(k)).alias("h"), F.col("u").alias("n"))
         to = cut(first.select(F.col("u").alias("node"), F.least("o", me)["n"].alias("to")), "to")
+        old = [edges]
+        if labels is not None:
+            old += [labels, to]
         labels = to if labels is None else cut(
             labels.join(to.select(F.col("node").alias("mid"), F.col("to").alias("next")), F.col("to") == F.col("mid"), "left").select("node", F.coalesce("next", "to").alias("to")), "labels")
         left = to.select(F.col("node").alias("u"), F.col("to").alias("a"))
         right = to.select(F.col("node").alias("v"), F.col("to").alias("b"))
         edges = edges.join(left, "u").join(right, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         edges = cut(edges.distinct(), "edges")
+        drop(*old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    drop(edges)
     least = labels.groupBy("to").agg(F.min("node").alias("component")).withColumnRenamed("to", "top")
     least = least.select("top", F.least("top", "component").alias("component"))
     return labels.join(least, F.col("to") == F.col("top")).select("node", "component")

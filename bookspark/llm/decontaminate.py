@@ -179,11 +179,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     if n == 1:
         return docs.withColumn(into, _searcher([(r["i"], bytes(r["t"])) for r in items.collect()], window)(common.bytes_col(text)))
     rows = common.cut(docs.drop(into).select(F.struct("*").alias("row"), common.bytes_col(text).alias("body"), F.monotonically_increasing_id().alias("n")), "numbered")
-    found = None
+    found, blocks = None, []
     for k in range(n):
         block = [(r["i"], bytes(r["t"])) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
         some = rows.select("n", _searcher(block, window)("body").alias("h")).select("n", "h.spans", "h.items").where(F.size("spans") > 0)
         some = common.cut(some, "block")
+        blocks.append(some)
         found = some if found is None else found.unionByName(some)
 
     @F.arrow_udf(_SPANS_DDL)
@@ -196,6 +197,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
 
     by_row = found.groupBy(F.col("n").alias("of")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     by_row = common.cut(by_row.select("of", merge("spans").alias("spans"), "items"), "merged")
+    common.drop(*blocks)
     out = rows.join(by_row, F.col("n") == F.col("of"), "left").withColumn("n_words", count("body"))
     hits = F.struct("n_words", F.coalesce("spans", F.array().cast(_SPANS_DDL)).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
     return out.select("row", hits.alias("hits")).select("row.*", F.col("hits").alias(into))

@@ -343,7 +343,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     texts = body.join(wanted, F.col("place") == F.col("doc")).select(F.col("place"), "body", "want")
     texts = common.cut(texts.mapInArrow(fetch, "doc long, start long, more int, place int, body binary"), "texts")
     common.tidy(spark)
-    late = common.cut(_settled(texts, length, core), "windows")
+    late, used = _settled(texts, length, core)
+    late = common.cut(late, "windows")
+    common.drop(texts, *used)
     common.tidy(spark)
 
     gone = found.where(F.col("kind") == AGAIN).select("doc", "start", "more").unionByName(spread.where("again").select("doc", "start", "more")).unionByName(late)
@@ -361,8 +363,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return both.select("doc_id", apply("body", "gone").alias("o")).select("doc_id", "o.n_bytes", "o.n_removed", "o.n_spans", "o.kept")
 
 
-def _settled(texts: DataFrame, length: int, core: int) -> DataFrame:
-    """(doc, start, more): the windows that start earlier, too, among texts (doc, start, more, place, body) told apart."""
+def _settled(texts: DataFrame, length: int, core: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, start, more): the windows that start earlier, too, among texts (doc, start, more, place, body) told apart; and
+    the tables that it reads."""
     spark = texts.sparkSession
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +392,11 @@ def _settled(texts: DataFrame, length: int, core: int) -> DataFrame:
 
     level = texts.withColumn("anchor", F.expr(f"substring(body, place + 1, {core})")).withColumn("at", F.col("place"))
     width = 1 << (length - core).bit_length()
-    out = []
+    out, used = [], []
     while True:
         sizes = level.groupBy("anchor").agg(F.sum(F.octet_length("body") - F.octet_length("anchor") + 2).alias("n"), F.count(F.lit(1)).alias("c")).where("c > 1")
         sizes = common.cut(sizes.groupBy((F.col("n") > ARRAY).alias("hot"), F.when(F.col("n") > ARRAY, F.col("anchor")).alias("over")).agg(F.sum("n").alias("n")), "sizes")
+        used.append(sizes)
         symbols, hot = sizes.agg(F.sum("n"), F.count("over")).first()
         over = sizes.where("hot").select("over")
         cold = level.join(over, F.col("anchor") == F.col("over"), "left_anti") if hot else level
@@ -411,6 +415,7 @@ def _settled(texts: DataFrame, length: int, core: int) -> DataFrame:
         halves = common.cut(halves, "halves")
         first = halves.groupBy("anchor", "place", "body").agg(F.min(F.struct("doc", "start", "more", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
         first = common.cut(first, "first")
+        used += [halves, first]
         twice = first.where("c > 1").select(F.col("anchor").alias("a"), F.col("place").alias("p"), F.col("body").alias("b"), "first")
         again = halves.join(twice, (F.col("anchor") == F.col("a")) & (F.col("place") == F.col("p")) & (F.col("body") == F.col("b")))
         out.append(again.where(F.struct("doc", "start") != F.struct("first.doc", "first.start")).select("doc", "start", "more"))
@@ -420,7 +425,7 @@ def _settled(texts: DataFrame, length: int, core: int) -> DataFrame:
     late = out[0]
     for more in out[1:]:
         late = late.unionByName(more)
-    return late
+    return late, used
 
 
 def _numbered(body: DataFrame) -> DataFrame:

@@ -186,6 +186,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = common.components(links(nodes.select("fp")))
     named = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     named = common.cut(named, "named")
+    common.drop(nodes)
     least = named.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("component_id"))
     named = named.join(least, F.col("group") == F.col("g")).select(F.col("fp").alias("of"), "component_id")
     return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id", *carry)
@@ -347,14 +348,16 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cells = common.split_hot(banded, ["t", "key"], "node", NEAR_CELL)
     order = ["t", "key", "part_a", "part_b"]
     cells = cells.select(*order, "own", "node", "fp", "keys").repartition(*order).sortWithinPartitions(*order, "node")
-    cells = common.cut(cells.mapInArrow(_candidates, cells.schema), "cells")
+    cells = near = common.cut(cells.mapInArrow(_candidates, cells.schema), "cells")
     wanted = nodes.join(cells.select(F.col("node").alias("n")).distinct(), F.col("node") == F.col("n")).select("node", F.col("one.doc_id").alias("id"), F.col("one.hash").alias("of"))
     found = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("hash"), body.alias("body")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")))
     found = common.cut(found.select(F.col("node").alias("n"), sets("body").alias("body")).dropDuplicates(["n"]), "sets")
     cells = cells.join(found, F.col("node") == F.col("n")).select(*order, "own", "node", "fp", "keys", "body")
     links = common.cut(cells.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_verify, "u long, v long"), "links")
+    common.drop(near, found)
     named = nodes.join(common.components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("group"))
     named = common.cut(named, "named")
+    common.drop(nodes, links)
     least = named.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("component_id"))
     named = named.join(least, F.col("group") == F.col("g")).select(F.col("node").alias("of"), "component_id")
     return rows.join(named, F.col("node") == F.col("of")).select("doc_id", "node", "component_id", *carry)

@@ -168,7 +168,8 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             out += [row.tobytes() for row in _signed(x, dims, plans, tables)]
         return pa.array(out, pa.binary())
 
-    nodes = common.cut(nodes.withColumn("sign", signed("x")), "signed")
+    plain, nodes = nodes, common.cut(nodes.withColumn("sign", signed("x")), "signed")
+    common.drop(plain)
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +181,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 row, table, probe = np.nonzero(own)  # a bucket that two probes name holds the vector once
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(table, pa.int32()), pa.array(s[row, table, probe], pa.int64()), pa.array(probe == 0)], names=["node", "t", "key", "home"])
 
-    slots = common.cut(nodes.select("node", F.size("x"), "sign").mapInArrow(bucketed, "node long, t int, key long, home boolean"), "slots")
+    slots = dealt = common.cut(nodes.select("node", F.size("x"), "sign").mapInArrow(bucketed, "node long, t int, key long, home boolean"), "slots")
     balls = common.cut(_balls(nodes, slots, threshold), "balls")
     slots = slots.join(balls.select(F.col("node").alias("in"), "ball"), F.col("node") == F.col("in"), "left").select("t", "key", "home", "node", F.coalesce("ball", F.lit(-1)).alias("ball"))
     groups = slots.groupBy("t", "key", "ball").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
@@ -247,10 +248,12 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         yield from work(True)
 
     found = common.cut(cells.mapInArrow(compare, "node long, links long, to long").unionByName(balls.select("node", "links", F.col("first").alias("to"))), "links")
+    common.drop(dealt, balls)
     groups = common.components(found.select(F.col("node").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "n")
     counts = found.where("links > 0").groupBy(F.col("node").alias("of")).agg(F.sum("links").alias("links"))
     named = nodes.select("d", "node", "least", "copies").join(counts, F.col("node") == F.col("of"), "left").join(groups, F.col("node") == F.col("n"), "left")
     named = common.cut(named.select(F.col("d").alias("nd"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("group")), "named")
+    common.drop(nodes, found)
     least = named.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component_id"))
     named = named.join(least, F.col("group") == F.col("g")).select("nd", "n_links", "component_id")
     out = rows.select("vec_id", "d").join(named, F.col("d") == F.col("nd"), "left")

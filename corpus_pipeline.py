@@ -84,4 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.cut(docs, f"stage{k}")
+            if k:
+                common.drop(before)
+            before = docs
     return docs
