@@ -208,6 +208,15 @@ def image_alt(alt: Column, number: Column, file_name_only: bool = False) -> Colu
 
 # --- flat markup --------------------------------------------------------------------------------------------------
 
+
+def ended_references(html: Column) -> Column:
+    """Markup in which every & that begins no reference with its semicolon stands as text, as XML and Markdown read it.
+
+    HTML also reads some names without one, so a title cut off in `&amp;` would end in & there.
+    """
+    return F.regexp_replace(html, "&(?!(?:[0-9A-Za-z]+|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+
+
 # Texts of links that only lead elsewhere.
 JUMPS = ("[top]", "[next]", "[previous]", "[contents]", "[back to top]", "top", "contents")
 
