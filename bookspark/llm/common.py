@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -83,6 +84,15 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system.  Workers serve one stage after another, so what their
+    allocators keep of a batch of texts would add up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def bytes_col(column) -> F.Column:
     """Text as bytes: Python then sees whole texts even if they are not valid UTF-8."""
     return F.col(column).cast("binary")

@@ -147,6 +147,7 @@ def _searcher(items: list[tuple[int | None, bytes]], window: int):
             n.append(len(w))
             spans.append([{"start": a, "end": b} for a, b in s])
             items_.append(sorted(i))
+        common.release()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items_, pa.list_(pa.int64()))], ["n_words", "spans", "items"])
 
     return hits

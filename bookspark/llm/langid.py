@@ -175,6 +175,7 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
                     seen[g] = True
                 total += seen
                 n += 1
+            common.release()
         slabs = [x.tobytes() for x in total.reshape(-1, SLAB)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(slabs)), pa.int32()), pa.array(slabs, pa.binary()), pa.array([n] + [0] * (len(slabs) - 1), pa.int64())], names=["slab", "counts", "n"])
 
@@ -270,6 +271,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lan
     @F.arrow_udf("lang string, score double, novelty double")
     def predict(texts: pa.Array) -> pa.Array:
         found = [model.predict(t.as_py()) for t in texts]
+        common.release()
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], ["lang", "score", "novelty"])
 
     return docs.withColumn(into, predict(common.bytes_col(text)))

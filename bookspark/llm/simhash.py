@@ -286,6 +286,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in _near_pairs(*arrays, FAR):
             some[i] = some[j] = True
         yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+    common.release()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +303,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = forest.edges()
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    common.release()
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -328,11 +330,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
             fps.append(fp - (1 << 64) if fp >> 63 else fp)
             keys.append(np.array(bands, dtype=np.uint64).tobytes() if len(found) else b"")
+        common.release()
         return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.binary())], ["node", "fp", "keys"])
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingles(t.as_py()).astype("<u4")).tobytes() for t in texts], pa.binary())
+        out = pa.array([np.unique(shingles(t.as_py()).astype("<u4")).tobytes() for t in texts], pa.binary())
+        common.release()
+        return out
 
     @F.arrow_udf("bands array<long>, low binary")
     def split(keys: pa.Array) -> pa.Array:

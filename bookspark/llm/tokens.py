@@ -32,8 +32,8 @@ RESTART = 16
 FOOTER = struct.Struct("<QQQQQQII8s")  # index at, length; bloom at, length; documents, tokens; id width, crc32 of index and bloom; magic
 #: A block's bytes before it is closed; a shard's bytes before the next one is begun; Bloom bits and probes a key.
 BLOCK, SHARD, BLOOM_BITS, BLOOM_PROBES = 64 << 10, 64 << 20, 10, 7
-#: Words whose ids a worker remembers before it starts over.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers before it starts over; with those from before, some 200 bytes each.
+REMEMBERED = 100_000
 
 
 #: How byte-level models spell bytes that are no printable Latin-1 character: by the characters from 256 on, in order.
@@ -311,6 +311,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()  # what earlier stages' batches have left
         enc = encoder(tokenizer)
         end = b"" if end_id is None else enc._bytes([end_id])
         fs, root = _open_fs(folder)
@@ -342,6 +343,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
                     table.add(key_of(d), value + end)
                     if table.at >= SHARD:
                         close()
+            common.release()
         if table is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["path", "bytes", "first", "n_docs", "n_tokens"])

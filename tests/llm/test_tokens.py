@@ -83,3 +83,28 @@ def test_write_and_read(spark, odd, empty):
         firsts.setdefault(r.doc_id, r.ids)
     assert got == {i: firsts.get(i) for i in (None, 1, 3, 6, 7, 8, 99, -5)} and got[6] and got[99] is None
     assert tokens.digest_tables(tokens.write_tables(empty, common.scratch(spark, "t"), PATH)).count() == 0
+
+
+def test_encoder_forgets_in_time():
+    """What a worker remembers stays beside its executor's heap: 150,000 words are not kept for ever."""
+    own = tokens.Encoder(PATH)
+    own.known = {str(i): b"" for i in range(150_000)}
+    want = tokens.Encoder(PATH).encode(["some words", "149999"])
+    assert own.encode(["some words"]) + tokens.Encoder(PATH).encode(["149999"]) == want and len(own.known) == 2
+    own.known |= {str(i): b"" for i in range(150_000)}
+    assert own.encode(["some words"]) == want[:1] and "some" in own.known and len(own.known) + len(own.faded) < 200_000
+
+
+def test_freed_memory_goes_back():
+    """Freed memory below a piece that is still in use stays with the process unless it is given back."""
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    pieces = [bytes(2000) for _ in range(50_000)]
+    last = bytes(2000)
+    del pieces
+    before = held()
+    common.release()
+    assert before - held() > 50_000_000 and len(last) == 2000
