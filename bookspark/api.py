@@ -89,18 +89,22 @@ class Books:
         return self.mobis.where("error is null").select("book", "html", "title")
 
     def probe(self) -> DataFrame:
-        """A report a book, with error in place of all else for files that cannot be read."""
-        sample = lambda t: F.transform(F.slice(t, 1, 10), lambda x: F.struct(x["index"].alias("index"), x["level"].alias("level"), x["title"].alias("title")))
-        kind = F.when(F.col("format") == "KF8", "K").otherwise("E")
-        shape = lambda code: [P.category(code).alias("category"), P.recommendation(code).alias("recommendation")]
-        epub = self.epubs.select(
-            "book", F.when(F.col("format") == "KF8", "AZW3 / MOBI (KF8)").otherwise("EPUB").alias("format"), "index.error", "index.title", "index.author", "index.language",
-            F.col("index.spine_items").cast("long").alias("total_spine_items"), F.lit(None).cast("long").alias("total_chars"), F.size("index.toc").cast("long").alias("toc_count"), sample(F.col("index.toc")).alias("toc_sample"), *shape(kind))
-        entries = self.toc().where("format = 'MOBI'").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "index", "level", "title"))).alias("t"))
-        mobi = self.mobis.join(entries, "book", "left").select(
-            "book", F.lit("MOBI (PalmDOC/Mobi6)").alias("format"), "error", "title", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("language"),
-            F.lit(None).cast("long").alias("total_spine_items"), F.length("html").cast("long").alias("total_chars"), F.size("t").cast("long").alias("toc_count"), sample(F.col("t")).alias("toc_sample"), *shape(F.lit("M")))
-        out = epub.unionByName(mobi).withColumn("toc_count", F.when(F.col("error").isNull(), F.greatest("toc_count", F.lit(0))))
+        """A report a book, with error in place of all else for files that cannot be read.  Every file is opened once."""
+        books = reader.reports(self.files, self.mobi_files)
+        epub = F.col("kind") != "MOBI"
+        shape = lambda make: F.when(F.col("kind") == "KF8", make(F.lit("K"))).when(epub, make(F.lit("E"))).otherwise(make(F.lit("M")))
+        index = F.transform("toc", lambda x: F.struct(x["index"].alias("index"), x["level"].alias("level"), x["title"].alias("title")))
+        if self._toc is None:
+            own = F.when(F.col("error").isNull(), headings.listed(F.col("title")))
+        else:  # as it is stored
+            entries = self.toc().where("format = 'MOBI'").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "index", "level", "title"))).alias("t"))
+            books = books.join(entries, "book", "left")
+            own = F.transform("t", lambda x: F.struct(x["index"].alias("index"), x["level"].alias("level"), x["title"].alias("title")))
+        books = books.withColumn("entries", F.when(epub, index).otherwise(own))
+        out = books.select(
+            "book", F.when(F.col("kind") == "KF8", "AZW3 / MOBI (KF8)").when(epub, "EPUB").otherwise("MOBI (PalmDOC/Mobi6)").alias("format"), "error", "title", "author", "language",
+            F.col("spine_items").cast("long").alias("total_spine_items"), F.length("html").cast("long").alias("total_chars"), F.size("entries").cast("long").alias("toc_count"), F.slice("entries", 1, 10).alias("toc_sample"), shape(P.category).alias("category"), shape(P.recommendation).alias("recommendation"))
+        out = out.withColumn("toc_count", F.when(F.col("error").isNull(), F.greatest("toc_count", F.lit(0))))
         return out.withColumn("is_digital", F.when(F.col("error").isNull(), True)).withColumn("has_toc", F.col("toc_count") > 0)
 
     def index(self) -> DataFrame:

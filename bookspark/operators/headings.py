@@ -152,6 +152,24 @@ def cascade(books: DataFrame) -> DataFrame:
     return _entries(books, "ABCDE")
 
 
+def listed(name: Column) -> Column:
+    """Array of struct(index, level, title) of the markup in column html: cascade's entries within a row, without a shuffle for
+    their offsets.  A scheme is tried only if those before it have not yielded enough."""
+    out = F.array().cast("array<struct<index:int,level:int,title:string>>")
+    for k in reversed(range(len(_SCHEMES))):
+        out = _enough(k, name, out)
+    return out
+
+
+def _enough(k: int, name: Column, otherwise: Column) -> Column:
+    s = _SCHEMES[k]
+
+    def entry(x: Column, i: Column) -> Column:
+        return F.struct(((x["raw"] if s.name in "AD" else i) + 1).cast("int").alias("index"), x["level"].alias("level"), x["title"].alias("title"))
+
+    return T.bind(F.filter(_matches(k, name), lambda x: x["fits"]), lambda found: F.when(F.size(found) >= s.least, F.transform(found, entry)).otherwise(otherwise))
+
+
 def sections(books: DataFrame, toc: DataFrame, scope: str = "section", only: DataFrame | None = None) -> DataFrame:
     """toc with html_start, html_end (exclusive) and html of each entry, or of the entries (book, pos) of `only`.
 

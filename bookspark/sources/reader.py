@@ -18,6 +18,7 @@ _BROKEN = (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.Par
 _ENTRY = pa.struct([("pos", pa.int32()), ("index", pa.int32()), ("level", pa.int32()), ("title", pa.string()), ("src", pa.string()), ("file_path", pa.string()), ("anchor", pa.string())])
 _EPUB = pa.struct([("error", pa.string()), *((m, pa.string()) for m in epub.METADATA.values()), ("spine_items", pa.int32()), ("source", pa.string()), ("toc", pa.list_(_ENTRY))])
 _MOBI = pa.struct([("error", pa.string()), ("title", pa.string()), ("compression", pa.int64()), ("text_length", pa.int64()), ("text_records", pa.int64()), ("record_size", pa.int64()), ("encoding", pa.string()), ("first_image", pa.int64()), ("boundary", pa.int64()), ("records", pa.int64()), ("html", pa.string()), ("epub", pa.binary())])
+_REPORT = pa.struct([("kind", pa.string()), *((f.name, f.type) for f in _EPUB), ("html", pa.string())])
 _BODIES = pa.list_(pa.struct([("entry", pa.string()), ("body", pa.binary())]))
 _RECORDS = pa.list_(pa.struct([("rec", pa.int32()), ("data", pa.binary())]))
 
@@ -101,6 +102,21 @@ def mobi_index(content: pa.Array) -> pa.Array:
     return pa.array([_mobi(c.as_py()) for c in content], _MOBI)
 
 
+def _report(kind: str, content: bytes | None) -> dict:
+    if kind == "EPUB":
+        return {"kind": kind, **_index(content)}
+    found = _mobi(content)
+    if found.get("epub") is not None:
+        return {"kind": "KF8", **_index(found["epub"])}
+    return {"kind": kind, "error": found.get("error"), "title": found.get("title"), "html": found.get("html")}
+
+
+@F.arrow_udf(from_arrow_type(_REPORT))
+def book_report(formats: pa.Array, content: pa.Array) -> pa.Array:
+    """Book files of either format opened once: kind (KF8 for a MOBI file that holds an EPUB), and epub_index's columns or title, error and markup."""
+    return pa.array([_report(f, c.as_py()) for f, c in zip(formats.to_pylist(), content)], _REPORT)
+
+
 @F.arrow_udf(ST.ArrayType(ST.BinaryType()))
 def mobi_images(content: pa.Array, numbers: pa.Array) -> pa.Array:
     """The image records that numbers name, null for those that are missing."""
@@ -147,6 +163,13 @@ def epubs(files: DataFrame, mobi_files: DataFrame | None = None) -> DataFrame:
     return plain.unionByName(packed).withColumn("index", epub_index("content"))
 
 
+def reports(files: DataFrame, mobi_files: DataFrame | None = None) -> DataFrame:
+    """book and book_report's columns of all EPUB and MOBI files: one pass, in which every file is opened once."""
+    kinds = [files.where("format in ('EPUB', 'MOBI')")] if mobi_files is None else [files.where("format = 'EPUB'"), mobi_files.where("format = 'MOBI'")]
+    found = [f.select("book", book_report("format", "content").alias("r")).select("book", "r.*") for f in kinds]
+    return found[0] if mobi_files is None else found[0].unionByName(found[1])
+
+
 def mobis(files: DataFrame) -> DataFrame:
     """files that are MOBI books without an EPUB inside: book, content, header fields, html, error."""
     return files.where("format = 'MOBI'").select("book", "content", mobi_index("content").alias("m")).where("m.epub is null").select("book", "content", "m.*").drop("epub")

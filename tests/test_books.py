@@ -43,6 +43,27 @@ def test_probe(spark, shelf):
     assert got["kf8"].format == "AZW3 / MOBI (KF8)" and got["bad"].error and got["short"].error
 
 
+def test_probe_opens_files_once(spark, shelf):
+    """Files that are worked out are worked out once, and entries found within a row are those of the table of contents."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pages = ["<hr>one\n<hr>two", "<p>a</p>", "<h1>x</h1>", "", "<a name='p'>Chapter 1</a><a id='q'></a><div>2. two</div>", "<p><b> 1.2 a</b></p><p><b>1.2.3 b</b></p>", f"<h1>{'t' * 100}</h1><h2>b</h2><h3>c</h3>", "<p>第1章 x</p><p>第2章 y</p>" * 9]
+    more = _files(spark, *((f"m{k}", "MOBI", palm.build(f"M{k}", p)) for k, p in enumerate(pages)), ("other", "PDF", b"%PDF"))
+    files = shelf.unionByName(more).mapInArrow(count, shelf.schema)
+    got = {r.book: r for r in Library(spark).files(files).probe().collect()}
+    assert made.value == shelf.count() + len(pages) + 1 and len(got) == made.value - 1
+    toc = {}
+    for r in Library(spark).files(shelf.unionByName(more)).toc().orderBy("book", "pos").collect():
+        toc.setdefault(r.book, []).append((r["index"], r.level, r.title))
+    for book, r in got.items():
+        assert r.toc_count == (None if r.error else len(toc.get(book, []))) and [tuple(x) for x in r.toc_sample or ()] == toc.get(book, [])[:10], book
+
+
 def test_extract(spark, shelf):
     books = Library(spark).files(shelf)
     got = {r.book: r for r in books.extract(["第2章", "NCX 二"]).collect()}
